@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, media, simhash, token_files
+from . import bpe, decontaminate, media, simhash, substrings, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_files": token_files.op3_token_files,
         "op6_simhash": simhash.op6_simhash,
+        "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_png_media": media.op9_png_media,
         "op10_byte_bpe": bpe.op10_byte_bpe,
