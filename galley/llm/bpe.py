@@ -23,10 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
-from .pretokens import pieces
-
-#: Pieces whose ids a worker remembers, before it starts afresh, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+from .pretokens import PieceCache, binaries, ragged
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -99,7 +96,11 @@ class Codec:
             if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None
         )
         self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.known: dict[str, bytes] = {}
+        self.cache = PieceCache(self.encode_pieces)
+        # all tokens joined, and where each lies
+        self.spelled = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.length = np.array([len(t) for t in self.tokens])
+        self.offset = np.cumsum(self.length) - self.length
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the tokens that pairs of ids make, or -1."""
@@ -107,15 +108,15 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
-    def merge(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian unsigned 32-bit integers, all pieces in one queue.
+    def merge(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many of each, by one queue for all.
 
         Links don't cross from piece to piece, so each merges as it would alone. A
         bucket merges at once; if two of its pairs share a symbol, or a merge makes a
         pair of a lower rank, it merges pair by pair from the left.
         """
         if not parts:
-            return []
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         data = np.frombuffer(b"".join(parts), np.uint8)
         n, lengths = len(data), np.array([len(p) for p in parts])
         end = np.cumsum(lengths)
@@ -155,10 +156,7 @@ class Codec:
             now[starts] = ranks
             queue.push(ranks, starts)
         kept = ids >= 0
-        size = np.add.reduceat(kept, end - lengths, dtype=np.int64)
-        flat = ids[kept].astype("<u4").tobytes()
-        stop = 4 * np.cumsum(size)
-        return [flat[a:b] for a, b in zip((stop - 4 * size).tolist(), stop.tolist(), strict=True)]
+        return ids[kept].astype(np.uint32), np.add.reduceat(kept, end - lengths, dtype=np.int64)
 
     def _merge_each(self, rank, positions, ids, after, before, now, queue) -> None:
         """Merges a bucket's pairs one by one, until one makes a pair of a lower rank."""
@@ -186,30 +184,25 @@ class Codec:
         if fresh:
             queue.push(*(np.array(x) for x in zip(*fresh, strict=True)))
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts as little-endian unsigned 32-bit integers."""
-        known, ranks = self.known, self.ranks
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [pieces(t) for t in texts]
-        fresh = list({p for parts in split for p in parts if p not in known})
-        coded = [p.encode() for p in fresh]
-        whole = [ranks.get(p) for p in coded]
-        merged = iter(self.merge([p for p, own in zip(coded, whole, strict=True) if own is None]))
-        for p, own in zip(fresh, whole, strict=True):
-            known[p] = next(merged) if own is None else own.to_bytes(4, "little")
-        out = [b"".join([known[p] for p in parts]) for parts in split]
-        for p in fresh:
-            if len(p) > LONGEST:
-                del known[p]
-        return out
+    def encode_pieces(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and how many of each: its own if it is a token, else those that merging leaves."""
+        own = np.array([self.ranks.get(p, -1) for p in parts], np.int64)
+        whole = own >= 0
+        ids, size = self.merge([p for p, w in zip(parts, whole.tolist(), strict=True) if not w])
+        counts = np.ones(len(parts), np.int64)
+        counts[~whole] = size
+        out = np.empty(int(counts.sum()), np.uint32)
+        single = np.repeat(whole, counts)
+        out[single], out[~single] = own[whole], ids
+        return out, counts
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_many([text])[0], "<u4").tolist()
+        return self.cache.texts([text.encode()])[0].tolist()
 
-    def decode(self, ids) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        ids = np.asarray(ids, np.int64)
+        return ragged(self.spelled, self.offset[ids], self.length[ids]).tobytes()
 
 
 _codecs: dict[str, Codec] = {}
@@ -233,8 +226,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            ids = c.encode_many(common.as_texts(b.column("text")))
-            yield common.batch(schema, [b.column("doc_id"), [len(x) // 4 for x in ids], ids])
+            ids, counts = c.cache.texts(common.as_bytes(b.column("text")))
+            yield common.batch(schema, [b.column("doc_id"), counts, binaries(ids, counts)])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -249,7 +242,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         for b in batches:
             ids = b.column("ids").to_pylist()
-            yield common.batch(schema, [b.column("doc_id"), b.column("n_tokens"), ids, [c.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]])
+            yield common.batch(schema, [b.column("doc_id"), b.column("n_tokens"), ids, [c.decode(np.frombuffer(x, "<u4")) for x in ids]])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, SCHEMA + ", text_bytes binary")
 

@@ -1,29 +1,145 @@
-"""Splits texts into the pieces that a byte-level BPE encodes separately."""
+"""Splits texts into the pieces that a byte-level BPE encodes separately, and remembers their ids.
+
+Most texts hold only ASCII and Latin letters; their pieces follow from byte classes and
+are found by numpy. Texts with an apostrophe (contractions) or any other character are
+split by the pattern itself.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 import regex
 
-# The letters, numbers and white space among the code points below U+0250.
-_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_SPACES = "\\t-\\r \x85\xa0"
+from . import common
+
+_pattern = regex.compile(public_tokenizers.PATTERN)
 
-_any = regex.compile(public_tokenizers.PATTERN)
-#: The same pattern over classes spelled out, which the standard library matches faster.
-_latin = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
-)
-_beyond = re.compile("[^\x00-ɏ]")
+_LETTER, _NUMBER, _SPACE, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[common.byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))] = _LETTER
+_CLASS[common.byte_class((0x30, 0x39))] = _NUMBER
+_CLASS[common.byte_class((0x09, 0x0D), (0x20, 0x20))] = _SPACE
+#: Bytes of texts that are left to the pattern: an apostrophe, and first bytes of
+#: characters from U+0080 to U+00BF and from U+0240 on.
+_LEAVE = common.byte_class((0x27, 0x27), (0xC2, 0xC2), (0xC9, 0xFF))
 
 
 def pieces(text: str) -> list[str]:
     """All pieces of a text, in order; joined they are the text."""
-    return (_any if _beyond.search(text) else _latin).findall(text)
+    return _pattern.findall(text)
+
+
+def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined, each piece's start there, and for each text the index of its first piece (and at last their number)."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    end = np.cumsum(np.fromiter((len(t) for t in texts), np.int64, len(texts)))
+    begin = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(texts) else end
+    n = len(data)
+    if not n:
+        return data, np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    kind = _CLASS[data]
+    start = np.ones(n + 1, bool)
+    start[1:n] = kind[1:] != kind[:-1]
+    start[begin] = True
+    # the last of a run of white space stands alone, or if it is a space before the next piece
+    last = np.zeros(n, bool)
+    last[:-1] = (kind[:-1] == _SPACE) & start[1:n]
+    last[end[end > 0] - 1] = False  # at the end of a text the run stays whole
+    start[:n] |= last
+    join = np.flatnonzero(last & (data == 0x20)) + 1
+    start[join] = False
+    start[begin] = True
+    # signs among the letters: multiplication and division
+    odd = _LEAVE[data]
+    odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    at = np.flatnonzero(odd)
+    if len(at):
+        for i in np.unique(np.searchsorted(end, at, side="right")).tolist():
+            a, b = int(begin[i]), int(end[i])
+            start[a:b] = False
+            sizes = [len(p.encode()) for p in pieces(texts[i].decode())]
+            start[a + np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)] = True
+    where = np.flatnonzero(start[:n])
+    return data, where, np.searchsorted(where, np.concatenate([begin, [n]]))
+
+
+def ragged(flat: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[offset : offset + size] of every pair, joined."""
+    end = np.cumsum(size)
+    total = int(end[-1]) if len(end) else 0
+    return flat[np.arange(total) + np.repeat(offset - (end - size), size)]
+
+
+class PieceCache:
+    """Encodes texts; a piece goes to the encoder only when it isn't remembered.
+
+    encode: pieces -> (ids of all, number of ids of each). Pieces are told apart by a
+    64-bit hash and their length. When more than ``most`` are remembered, all are forgotten.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+        self.encode, self.most = encode, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.offset, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and the number of ids of each."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a, b in common.chunks(texts, 2 << 20):
+            i, n = self._chunk(texts[a:b])
+            ids.append(i)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data, start, first = split(texts)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        stop = np.concatenate([start[1:], [len(data)]])
+        power, inverse = common.powers(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(common.byte_values(3)[data] * power[: len(data)], out=total[1:])
+        h = common.mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+        order = np.argsort(h)
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = np.diff(h[order]) != 0
+        head = order[fresh]
+        keys = h[head]
+        group = np.empty(len(h), np.int64)
+        group[order] = np.cumsum(fresh) - 1
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            raw = data.tobytes()
+            ids, size = self.encode([raw[a:b] for a, b in zip(start[head[new]].tolist(), stop[head[new]].tolist(), strict=True)])
+            if len(self.keys) > self.most:
+                # what this chunk needs stays
+                old = np.setdiff1d(np.arange(len(keys)), new)
+                kept = at[old]
+                self.ids = ragged(self.ids, self.offset[kept], self.size[kept])
+                self.size, self.keys = self.size[kept], self.keys[kept]
+                self.offset = np.cumsum(self.size) - self.size
+            offset = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate([self.ids, ids])
+            place = np.searchsorted(self.keys, keys[new])
+            self.keys = np.insert(self.keys, place, keys[new])
+            self.offset = np.insert(self.offset, place, offset)
+            self.size = np.insert(self.size, place, size)
+            at = np.searchsorted(self.keys, keys)
+        size = self.size[at][group]
+        sums = np.concatenate([[0], np.cumsum(size)])
+        return ragged(self.ids, self.offset[at][group], size), sums[first[1:]] - sums[first[:-1]]
 
 
-def latin_only(text: str) -> bool:
-    return _beyond.search(text) is None
+def binaries(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers."""
+    raw = ids.astype("<u4").tobytes()
+    end = 4 * np.cumsum(counts)
+    return [raw[a:b] for a, b in zip((end - 4 * counts).tolist(), end.tolist(), strict=True)]

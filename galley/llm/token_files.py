@@ -17,6 +17,7 @@ empty table makes no file and gives an empty table.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .pretokens import latin_only, pieces
+from .pretokens import PieceCache, binaries
 
 # Fixed values of the zstandard and seekable formats.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -44,8 +45,6 @@ VERSION = 1
 #: Stands for a null doc_id in a file.
 NULL_ID = -(1 << 63)
 END_ID = 0
-#: Pieces whose ids a worker remembers before it starts afresh, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
 
 
 class BadFile(ValueError):
@@ -56,34 +55,39 @@ class Encoder:
     """Encodes with a tokenizers file; pieces that come again aren't encoded again.
 
     The library splits a text into pieces and encodes each by itself, so the ids of a
-    text are those of its pieces. Texts with rarer scripts go to the library whole.
+    text are those of its pieces. Pieces go to the library many at once, a line each: a
+    line feed before or after a piece without one is always a piece of its own.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [pieces(t) if latin_only(t) else None for t in texts]
-        fresh = list({p for parts in split if parts for p in parts if p not in known})
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            known.update(zip(part, self._encode(part), strict=True))
-        whole = iter(self._encode([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        out = [next(whole) if parts is None else b"".join([known[p] for p in parts]) for parts in split]
-        for p in fresh:
-            if len(p) > LONGEST:
-                del known[p]
-        return out
+        (self.line_feed,) = self._ids(["\n"])[0]
+        self.cache = PieceCache(self.encode_pieces)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.decode() for p in parts]
+        lined = np.array([p == p.rstrip() and not p[1:2].isspace() and p != "" for p in texts], bool)
+        lines = [p for p, own in zip(texts, lined.tolist(), strict=True) if own]
+        single = self._ids([p for p, own in zip(texts, lined.tolist(), strict=True) if not own])
+        coded = self._ids(["".join([f"{p}\n" for p in lines[i : i + 500]]) for i in range(0, len(lines), 500)])
+        flat = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
+        feed = flat == self.line_feed
+        end = np.flatnonzero(feed)
+        counts = np.empty(len(parts), np.int64)
+        counts[lined] = np.diff(end, prepend=-1) - 1
+        counts[~lined] = [len(x) for x in single]
+        out = np.empty(int(counts.sum()), np.uint32)
+        own = np.repeat(lined, counts)
+        out[own] = flat[~feed]
+        out[~own] = np.concatenate([np.zeros(0, np.uint32), *single])
+        return out, counts
 
 
 _encoders: dict[str, Encoder] = {}
@@ -240,7 +244,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Tok
         name = f"{folder}/{uuid.uuid4().hex}.ids.zst"
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            for doc_id, coded in zip(ids, coder.encode(common.as_texts(b.column("text"))), strict=True):
+            for doc_id, coded in zip(ids, binaries(*coder.cache.texts(common.as_bytes(b.column("text")))), strict=True):
                 writer = writer or Writer(name)
                 writer.add(doc_id, coded + end)
                 tokens += len(coded) // 4 + 1
