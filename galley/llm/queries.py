@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, media, pages, pii, quality, simhash, substrings, token_files
+from . import bpe, decontaminate, licences, media, pages, pii, quality, simhash, substrings, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_licences": licences.op2_licences,
         "op3_token_files": token_files.op3_token_files,
         "op4_main_text": pages.op4_main_text,
         "op5_quality": quality.op5_quality,
