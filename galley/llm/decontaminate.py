@@ -251,6 +251,47 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK) -> Iterator[list[tuple]]:
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first:long,end:long>>, contaminated boolean"
+_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))]
+    + [("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("contaminated", pa.bool_())]
+)
+
+
+class _Search:
+    """Searches shards for all blocks of a benchmark, in a task."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int):
+        common.prepare(docs.sparkSession)
+        self.window = window
+        self.blocks = [docs.sparkSession.sparkContext.broadcast(items) for items in blocks_of(benchmark)]
+
+    def rows(self, texts: list[bytes]) -> list[tuple]:
+        """The columns of SCHEMA but the first, for each text of a shard."""
+        shard = Shard(texts)
+        if len(self.blocks) == 1:
+            ready = self.__dict__.setdefault("_ready", [Block(self.blocks[0].value, self.window)])
+        else:
+            ready = (Block(b.value, self.window) for b in self.blocks)
+        for block in ready:
+            shard.search(block)
+        return [(n, hits, items, spans, hits > 0 and 20 * hits >= n) for n, hits, items, spans in shard.results()]
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[bytes]]]:
+    """Rows of about SHARD bytes of text, and their texts."""
+    parts, texts, size = [], [], 0
+    for b in batches:
+        own = common.as_bytes(b.column(b.schema.get_field_index("text")))
+        for first, last in common.chunks(own, SHARD):
+            more = sum(len(t) for t in own[first:last])
+            if parts and size + more > SHARD:
+                yield pa.Table.from_batches(parts), texts
+                parts, texts, size = [], [], 0
+            parts.append(b.slice(first, last - first))
+            texts = texts + own[first:last]
+            size += more
+    if parts:
+        yield pa.Table.from_batches(parts), texts
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -258,39 +299,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     A document is contaminated if at least a twentieth of its words is hit.
     """
-    spark = docs.sparkSession
-    common.prepare(spark)
-    blocks = [spark.sparkContext.broadcast(items) for items in blocks_of(benchmark)]
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))]
-        + [("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("contaminated", pa.bool_())]
-    )
+    search = _Search(docs, benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [Block(blocks[0].value, window)] if len(blocks) == 1 else None
-
-        def search(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-            shard = Shard(texts)
-            for block in ready or (Block(b.value, window) for b in blocks):
-                shard.search(block)
-            rows = [(i, n, hits, items, spans, hits > 0 and 20 * hits >= n) for i, (n, hits, items, spans) in zip(ids, shard.results(), strict=True)]
-            return common.batch(schema, list(zip(*rows, strict=True)))
-
-        ids, texts, size = [], [], 0
-        for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), common.as_bytes(b.column("text")), strict=True):
-                if size and size + len(text) > SHARD:
-                    yield search(ids, texts)
-                    ids, texts, size = [], [], 0
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text) + 1
-        if ids:
-            yield search(ids, texts)
+        for table, texts in _shards(batches):
+            yield common.batch(_SCHEMA, [common.plain(table.column("doc_id")), *zip(*search.rows(texts), strict=True)])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs that aren't contaminated, unchanged."""
+    search = _Search(docs, benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts in _shards(batches):
+            clean = pa.array([not row[-1] for row in search.rows(texts)])
+            yield from table.filter(clean).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     found = scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
