@@ -18,9 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once in a Python worker.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of an Arrow batch, so that a batch of very long texts stays small.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
+#: Settings of the workers' allocators.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -30,7 +32,10 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    # large arrays of workers go back to the system as soon as they are freed
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 

@@ -80,7 +80,7 @@ class PieceCache:
     64-bit hash and their length. When more than ``most`` are remembered, all are forgotten.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
         self.encode, self.most = encode, most
         self._forget()
 
@@ -92,7 +92,7 @@ class PieceCache:
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and the number of ids of each."""
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for a, b in common.chunks(texts, 2 << 20):
+        for a, b in common.chunks(texts, 1 << 20):
             i, n = self._chunk(texts[a:b])
             ids.append(i)
             counts.append(n)

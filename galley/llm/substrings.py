@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of a window, bytes of text in one run, and bytes of text for each bucket.
-WINDOW, RUN_BYTES, BUCKET_BYTES = 13, 16 << 20, 8 << 20
+WINDOW, RUN_BYTES, BUCKET_BYTES = 13, 12 << 20, 8 << 20
 #: Run number of what an index held before the batch.
 HISTORY = -1
 
