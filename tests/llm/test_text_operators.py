@@ -1,0 +1,424 @@
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+from galley.llm import common, components, crf, decontaminate, licences, media, pages, pii, quality, simhash, substrings
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int"
+ODD = [(1, None, "en", "s", 0, 1), (2, "", "en", "s", 0, 1), (3, "\n \t", None, None, 3, 1), (4, "one", "en", "s", 3, 1), (4, "one", "en", "s", 3, 1), (None, "two words", "en", "s", 9, None), (5, "word " * 40_000, "en", "s", 200_000, 1)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+def read(spark, sf_dir, name="documents"):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lower(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+
+
+# Words and hashes
+
+
+def test_words_and_hashes():
+    r = random.Random(2)
+    texts = ["".join(r.choice("aB1é \t\n.日") for _ in range(r.randint(0, 40))) for _ in range(300)]
+    w = common.Words([t.encode() for t in texts], common.ALNUM)
+    expected = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for t in texts]
+    data, start, end = w.joined(common.LOWER)
+    got = [data[a:b].decode() for a, b in zip(start, end, strict=True)]
+    assert got == [x for t in expected for x in t]
+    assert np.diff(w.first).tolist() == [len(t) for t in expected]
+    h = w.hashes(1, common.LOWER)
+    assert len({(x, int(v)) for x, v in zip(got, h, strict=True)}) == len(set(got)) == len(set(h.tolist()))
+
+
+# Near-duplicates
+
+
+def brute_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def brute_groups(prints, distance=2):
+    """prints: doc -> fingerprint. doc -> least doc that can be reached."""
+    root = {f: f for f in set(prints.values())}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    values = sorted(root)
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if (a ^ b).bit_count() <= distance:
+                root[find(a)] = find(b)
+    least = {}
+    for d, f in prints.items():
+        least[find(f)] = min(d, least.get(find(f), d))
+    return {d: least[find(f)] for d, f in prints.items()}
+
+
+def test_simhash_equals_brute_force(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in read(spark, sf_dir).collect()}
+    prints = {d: brute_print(t) for d, t in docs.items()}
+    groups = brute_groups(prints)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op6_simhash(spark, sf_dir).collect()}
+    assert got == {d: (f"{prints[d]:016x}", groups[d]) for d in docs}
+
+
+def test_links_cover_every_pair_within_two_bits(spark):
+    r = random.Random(6)
+    values, seeds = set(), [r.getrandbits(64) for _ in range(20)]
+    for s in seeds:
+        for _ in range(12):
+            for _ in range(r.randint(0, 2)):
+                s ^= 1 << r.randrange(64)
+            values.add(s)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    roots = {r.node: r.root for r in components.components(simhash.links(nodes)).collect()}
+    groups = brute_groups(dict(enumerate(signed_to_unsigned(v) for v in signed)))
+    by = {}
+    for i, v in enumerate(signed):
+        by.setdefault(groups[i], set()).add(roots.get(v, v))
+    assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
+
+
+def signed_to_unsigned(v):
+    return v & (1 << 64) - 1
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(200, 200), (300, 301), (301, 300), (None, 5)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 61)}, **{x: 100 for x in range(101, 160)}, 301: 300}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_simhash_of_odd_rows(spark):
+    got = simhash.groups(frame(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1} and all(r.fp == 0 for r in got if r.doc_id in (1, 2, 3))
+    assert simhash.groups(frame(spark, [])).count() == 0
+    kept = simhash.keep_one(frame(spark, ODD))
+    assert kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+
+
+# Passages
+
+
+def brute_removed(docs, size=13):
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in docs}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - size + 1):
+            first.setdefault(tuple(words[d][i : i + size]), d)
+    out = {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - size + 1):
+            if first[tuple(w[i : i + size])] < d:
+                gone |= set(range(i, i + size))
+        out[d] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+    return out
+
+
+def test_substrings_equal_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in read(spark, sf_dir).collect()]
+    expected = {d: (n, gone, hashlib.sha256(left.encode()).hexdigest()) for d, (n, gone, left) in brute_removed(docs).items()}
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.op7_substring_dedup(spark, sf_dir).collect()} == expected
+
+
+def test_index_in_batches_equals_one_batch(spark):
+    r = random.Random(8)
+    passages = [" ".join(r.choice("abcde") for _ in range(20)) for _ in range(6)]
+    docs = [(d, " ".join(r.choice([*passages, "x y", f"w{d}"]) for _ in range(r.randint(0, 6)))) for d in range(90)]
+    whole = {x.doc_id: (x.n_words, x.n_removed, x.text) for x in substrings.FingerprintIndex(spark).ingest(spark.createDataFrame(docs, "doc_id long, text string"), keep=False).collect()}
+    assert whole == brute_removed(docs)
+    index, got = substrings.FingerprintIndex(spark, bits=5), {}
+    for a in range(0, 90, 30):
+        for x in index.ingest(spark.createDataFrame(docs[a : a + 30], "doc_id long, text string")).collect():
+            got[x.doc_id] = (x.n_words, x.n_removed, x.text)
+        index.commit()
+        if a:
+            index.compact()
+            assert len(index.history) == 1
+    assert got == whole
+
+
+def test_runs_pack_and_merge():
+    r = np.random.default_rng(1)
+    for n in (1, 5, 3000):
+        h = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        c = (r.integers(0, 2**16, len(h))).astype(np.uint64)
+        back = substrings.unpack(substrings.pack(h, c), len(h))
+        assert (back[0] == h).all() and (back[1] == c).all()
+    a, b = np.array([1, 5, 9], np.uint64), np.array([5, 9, 11], np.uint64)
+    one, other = np.array([7, 7, 7]), np.array([7, 8, 7])
+    seen = substrings.merge_runs([(4, 3, substrings.pack(b, other)), (2, 3, substrings.pack(a, one))])
+    assert [(n, s.tolist()) for n, _, s in seen] == [(2, [False] * 3), (4, [True, False, False])]  # 9 has another check
+
+
+def test_substrings_of_odd_rows(spark):
+    got = substrings.FingerprintIndex(spark).ingest(frame(spark, ODD), keep=False).collect()
+    assert len(got) == len(ODD) and {r.n_removed for r in got} == {0} and next(r for r in got if r.doc_id == 5).n_words == 40_000
+    assert substrings.FingerprintIndex(spark).ingest(frame(spark, []), keep=False).count() == 0
+
+
+# Benchmark passages
+
+
+def brute_hits(docs, items, size=13):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    windows = {}
+    for i, t in items:
+        w = split(t)
+        k = min(size, len(w))
+        for a in range(len(w) - k + 1 if k else 0):
+            windows.setdefault(tuple(w[a : a + k]), set()).add(i)
+    out = {}
+    for d, t in docs:
+        w, hit, found = split(t), set(), set()
+        for k in {len(x) for x in windows}:
+            for a in range(len(w) - k + 1):
+                if (own := windows.get(tuple(w[a : a + k]))) is not None:
+                    found |= own
+                    hit |= set(range(a, a + k))
+        out[d] = (len(w), len(hit), sorted(map(str, found)), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in read(spark, sf_dir).collect()]
+    expected = brute_hits(docs, [(r.item_id, r.text) for r in read(spark, sf_dir, "benchmark").collect()])
+    got = {r.doc_id: r for r in decontaminate.op8_decontaminate(spark, sf_dir).collect()}
+    assert sum(e[1] > 0 for e in expected.values()) > 0
+    for d, (n, hit, items, bad) in expected.items():
+        r = got[d]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(items), bad)
+        assert r.items_sha256 == hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fm_index_equals_brute_force(seed):
+    r = random.Random(seed)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 40))) for _ in range(8)]
+    items = [(i, " ".join(r.choice("abcd") for _ in range(r.randint(0, 15)))) for i in range(5)]
+    shard = decontaminate.Shard([t.encode() for t in texts])
+    for half in (items[:2], items[2:]):  # two blocks
+        shard.search(decontaminate.Block([(i, t.encode()) for i, t in half]))
+    expected = brute_hits(list(enumerate(texts)), items)
+    for n, (words, hit, found, spans) in enumerate(shard.results()):
+        assert (words, hit, found) == expected[n][:3] and sum(s["end"] - s["first"] for s in spans) == hit
+
+
+def test_decontamination_of_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "word word"), (2, None), (3, ""), (3, "One")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate.scan(frame(spark, ODD), bench).collect()}
+    assert got == {1: (0, [], False), 2: (0, [], False), 3: (0, [], False), 4: (1, ["3"], True), None: (0, [], False), 5: (40_000, ["1"], True)}
+    assert decontaminate.scan(frame(spark, ODD), bench.where("false")).where("n_hit > 0").count() == 0
+    assert decontaminate.keep_clean(frame(spark, ODD), bench).count() == 4 and decontaminate.keep_clean(frame(spark, []), bench).count() == 0
+
+
+# Personal data
+
+
+def brute_spans(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(digits) <= 19 and pii.luhn(digits):
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(4)
+    parts = ["a", "1", "23", ".", "@", "-", "+", " ", "é", "(", ")", "255", ".1", "a.b", "4111111111111111", "@x.y", "1.2.3.4", "+1 234 567 890"]
+    for _ in range(8000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert pii.base_spans(t) == brute_spans(t)
+
+
+def test_long_runs_take_linear_time():
+    for t in ("a" * 200_000, "1" * 200_000, "a@" * 100_000, "+1 " * 70_000, "1." * 100_000):
+        pii.base_spans(t)
+
+
+def test_base_columns_of_the_query(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in read(spark, sf_dir).collect()}
+    for r in pii.op1_pii(spark, sf_dir).collect():
+        base = brute_spans(docs[r.doc_id])
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.BASE]
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+def test_field_adds_what_the_patterns_miss_and_leaves_prose_alone():
+    field = pii.model()
+    texts = ['see token = "1eb9c654e721b4f812088970e66a6345cee33dd6" there', "call (499) 555-6503 now", "ssn 123-45-6789", "In 1999 version 2.0.1 of 12345678 cost $9.99, or 10:30.", "é +1 (499) 555-6503 x"]
+    got = [every for _, every in pii.find_many([t.encode() for t in texts], field)]
+    assert [[(k, t[a:b]) for k, a, b in s] for t, s in zip(texts, got, strict=True)] == [
+        [("secret", "1eb9c654e721b4f812088970e66a6345cee33dd6")], [("phone", "(499) 555-6503")], [("id", "123-45-6789")], [], [("phone", "+1 (499) 555-6503")],
+    ]
+
+
+def test_short_cut_through_plain_words_changes_no_label():
+    field = pii.model()
+    slow = crf.Model(**{**field.__dict__, "memory": 0})
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["plain"] * 9 + ["12", "call", "(499)", "555-6503", "a@b.co", "x!"]) for _ in range(r.randint(0, 90))).encode() for _ in range(200)]
+    tokens = field.tokens(texts)
+    assert field.memory and (crf.decode(field, tokens) == crf.decode(slow, tokens)).all()
+
+
+def test_masking(spark):
+    rows = [(1, "mail a.b@c.org or +1 (499) 555-6503.", "en", "s", 0, 1), (2, None, "en", "s", 7, 1)]
+    out = {r.doc_id: r for r in pii.mask(frame(spark, rows)).collect()}
+    assert out[1].text == "mail <EMAIL> or <PHONE>." and out[1].n_chars == len(out[1].text) and out[2].text is None and out[2].n_chars == 7
+    assert pii.find(frame(spark, ODD)).count() == len(ODD) and pii.mask(frame(spark, [])).count() == 0
+
+
+# Quality
+
+
+def test_quality_on_held_out_labels(spark, sf_dir):
+    path = sf_dir.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.quality for r in read(spark, path, "labels").collect()}
+    got = quality.op5_quality(spark, path).collect()
+    assert len(got) == read(spark, path).count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out and r.doc_id in labels]
+    assert np.mean([r.predicted == labels[r.doc_id] for r in held]) >= 0.95
+
+
+def test_quality_of_odd_rows(spark):
+    labels = spark.createDataFrame([(4, 1, None), (5, 0, None), (99, 1, None), (None, 0, None), (2, None, 1)], "doc_id long, quality int, toxic int")
+    model = quality.train(frame(spark, ODD), labels)
+    got = quality.score(frame(spark, ODD), model).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    empty = quality.train(frame(spark, []), labels)
+    assert {r.score for r in quality.score(frame(spark, ODD), empty).collect()} == {0.5}
+    assert quality.keep_good(frame(spark, ODD), empty).columns == frame(spark, []).columns
+
+
+def test_additive_model_learns_an_interaction():
+    r = np.random.default_rng(3)
+    x = r.random((3000, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.5)).astype(float)
+    model = quality.fit(x, y)
+    assert (0, 2) in model.pairs and ((model.score(x) >= 0.5) == y).mean() > 0.95
+
+
+# Licences
+
+
+def test_licence_families():
+    for text, family in (
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC"), ("Released under the MIT License.", "MIT"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache"), ("Copyright (c) 2011. All rights reserved.", "Proprietary"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD"),
+        ("er kam mit dem Zug", "unknown"), ("He has a driving license", "unknown"), ("", "unknown"),
+    ):
+        assert licences.predict(text)[0] == family
+
+
+def test_licence_scan_equals_the_model(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in read(spark, sf_dir).collect()] + [(10**6, "x\nReleased under the MIT License.\n\nAll rights reserved")]
+    got = {(r.doc_id, r.paragraph): r for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    expected = {}
+    for d, t in docs:
+        for i, line in enumerate(t.split("\n")):
+            family, p = licences.predict(line)
+            if family != licences.UNKNOWN and round(p, 4) >= licences.LEAST:
+                expected[d, i] = (family, p)
+    assert {k: r.family for k, r in got.items()} == {k: f for k, (f, _) in expected.items()}
+    assert all(abs(got[k].probability - p) < 2e-4 for k, (_, p) in expected.items())
+    assert got[10**6, 1].confirmed and got[10**6, 3].confirmed
+    plan = licences.op2_licences(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_licence_scan_of_odd_rows(spark):
+    assert licences.scan(frame(spark, ODD)).count() == 0 and licences.scan(frame(spark, [])).count() == 0
+
+
+# Media
+
+
+def test_png_round_trip_and_damage():
+    r = random.Random(1)
+    for text in (b"", b"a", b"x" * 64, b"y" * 65, bytes(range(256)) * 9, bytes(r.randrange(256) for _ in range(5000))):
+        data = media.write_png(media.payload(text))
+        assert media.read_png(data).tobytes() == media.payload(text) and len(media.payload(text)) % 64 == 0 and media.payload(text).startswith(text)
+        assert len(media.cosine_hash(media.read_png(data))) == 16
+    for i in (3, 20, 45, len(data) - 5):
+        bad = bytearray(data)
+        bad[i] ^= 4
+        with pytest.raises(media.BadPicture):
+            media.read_png(bytes(bad))
+    with pytest.raises(media.BadPicture):
+        media.read_png(data[:-12])
+
+
+def test_png_filters():
+    raw = np.random.default_rng(2).integers(0, 256, (6, 65), dtype=np.uint8)
+    raw[:, 0] = [0, 1, 2, 3, 4, 2]
+    got = media._unfilter(raw).astype(int)
+    for y in range(6):
+        for x in range(64):
+            a, b = (got[y, x - 1] if x else 0), (got[y - 1, x] if y else 0)
+            c = got[y - 1, x - 1] if x and y else 0
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            assert got[y, x] == (int(raw[y, x + 1]) + [0, a, b, (a + b) // 2, paeth][raw[y, 0]]) % 256
+
+
+def test_media_query(spark, sf_dir):
+    docs = {r.doc_id: r.text.encode() for r in read(spark, sf_dir).collect()}
+    for r in media.op9_png_media(spark, sf_dir).collect():
+        p = media.payload(docs[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    assert media.features(media.store(frame(spark, ODD))).count() == len(ODD)
+
+
+# Pages
+
+
+def test_main_text():
+    page = """<html><head><title>x</title></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies, ok, fine, yes</div>
+    <div id=content><article><header><h1>Title &amp; more</h1><p>By me</p></header><p>One,  two&nbsp;three <b>four</b><p>Five<br>six</p><div class="ad">Buy</div><ul><li>a<li>b</ul><form>mail</form>
+    </article></div><div class="sidebar"><p>side, side, side, side, side, side</p></div><section class="comments"><p>nice, very, nice, comment, indeed</p></section><footer>c</footer></body></html>"""
+    assert pages.main_text(page) == "Title & more\n\nOne, two three four\n\nFive six\n\na\n\nb"
+    for text, out in ((None, ""), ("", ""), (" ", ""), ("just text", "just text"), ("<p>a<p>b", "a\n\nb"), ("<b>" * 3000 + "x", "x"), ("<script>a", ""), ("a < b", "a < b"), ("<!-- x", "")):
+        assert pages.main_text(text) == out
+
+
+def test_pages_query_equals_the_articles(spark, sf_dir):
+    import html
+
+    for r in pages.op4_main_text(spark, sf_dir).join(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id").collect():
+        article = r.html[r.html.index("<article>") + 9 :]
+        article = article[: article.index("</article>")]
+        parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>|<br>", article))
+        assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def test_duckdb_agrees_on_what_is_held_out(spark, sf_dir):
+    got = {r.doc_id: r.h for r in read(spark, sf_dir).select("doc_id", quality.held_out().alias("h")).collect()}
+    assert {d: zlib.crc32(str(d).encode()) % 3 == 1 for (d,) in duckdb.sql(f"SELECT doc_id FROM '{sf_dir}/documents.parquet'").fetchall()} == got
