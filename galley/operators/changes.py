@@ -152,3 +152,28 @@ def draft_rows(drafts: DataFrame) -> DataFrame:
     """Drafts with a name, the name trimmed, "" as null."""
     named = drafts.withColumn("name", strip(F.coalesce("name", F.lit("")))).where("name <> ''")
     return named.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" and c != "name" else F.col(c) for c, t in named.dtypes])
+
+
+#: Fields that a new recipe never keeps, though a request may hold them.
+NOT_ON_CREATE = ["dish_photo_position", "rating_first", "rating_second"]
+
+
+def create_recipes(recipes: DataFrame, new: DataFrame, defaults: dict) -> DataFrame:
+    """Recipes with new ones appended; position and ratings of a new one are left at their defaults."""
+    return insert(recipes, new.drop(*NOT_ON_CREATE), {k: v for k, v in defaults.items() if k not in NOT_ON_CREATE})
+
+
+def set_field(table: DataFrame, keys: DataFrame, field: str, value: Column, key: str = "id") -> DataFrame:
+    """One field of the rows with the given keys set to a value."""
+    hit = keys.select(F.col(key).alias("_key")).distinct()
+    joined = table.join(hit, table[key] == F.col("_key"), "left")
+    return joined.withColumn(field, F.when(F.col("_key").isNotNull(), value).otherwise(F.col(field))).drop("_key")
+
+
+def zone_rows(drafts: DataFrame) -> DataFrame:
+    """Drafts of zones (area_id, zones: array with categories and container types) as rows: place, and lists as JSON text."""
+    rows = drafts.select("area_id", F.posexplode("zones").alias("pos", "z")).select("area_id", "pos", "z.*")
+    placed = rows.withColumn("position_order", F.coalesce(F.nullif("position_order", F.lit(0)), F.col("pos")))
+    text = lambda c: F.to_json(F.coalesce(c, F.array().cast("array<string>"))).alias(c)
+    kept = [c for c in placed.columns if c not in ("pos", "typical_categories", "typical_container_types")]
+    return placed.select(*kept, text("typical_categories"), text("typical_container_types"))

@@ -41,3 +41,10 @@ def totals(recipes: DataFrame, ingredients: DataFrame, foods: DataFrame) -> Data
     rounded = joined.select("id", "servings", *[amounts.rounded(F.coalesce(f"_{m}", F.lit(0.0))).alias(f"total_{m}") for m in rules.MEASURES])
     servings = F.greatest("servings", F.lit(1))
     return rounded.select("*", *[amounts.rounded(F.col(f"total_{m}") / servings).alias(f"serving_{m}") for m in rules.MEASURES])
+
+
+def top_foods(results: DataFrame, kinds: tuple[str, ...] = ("Foundation", "SR Legacy")) -> DataFrame:
+    """results: query, rank, kind and more. The first result of an allowed kind of each query."""
+    allowed = results.where(F.col("kind").isin(*kinds))
+    first = allowed.groupBy("query").agg(F.min_by(F.struct(*[c for c in results.columns if c != "query"]), "rank").alias("_r"))
+    return first.select("query", "_r.*")

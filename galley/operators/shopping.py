@@ -114,3 +114,13 @@ def sums(rows: DataFrame) -> DataFrame:
     fit = added.where((F.col("base_unit") == F.col("_other")) & (F.col("n_rows") == F.col("_read")) & (F.col("n_rows") > 1))
     shown = amounts.display(F.col("total"), F.col("base_unit"))
     return fit.select("list_id", "norm", "base_unit", "n_rows", "total", shown["amount"].alias("amount"), shown["unit"].alias("unit"))
+
+
+def recipe_names(lists: DataFrame) -> DataFrame:
+    """list_id, title: the distinct recipes that a list's items come from. lists: as ``consolidated`` gives them."""
+    return lists.select("list_id", F.explode("from_recipes").alias("title")).distinct()
+
+
+def selected_counts(selection: DataFrame) -> DataFrame:
+    """list_id, n: how many different recipes are selected."""
+    return selection.groupBy("list_id").agg(F.count_distinct("id").alias("n"))

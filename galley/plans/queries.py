@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley import rules
-from galley.functions import amounts, dates, extract, text
+from galley.functions import amounts, dates, extract, forms, text
 from galley.operators import catalog, changes, extraction, inventory, nutrition, shopping
 from galley.streaming.actions import event_counts
 
@@ -527,6 +527,50 @@ def instruction_split(spark, sf_dir):
     return rows.withColumn("section", text.section_title(F.col("line")))
 
 
+# Forms and selections
+
+
+@query(with_("recipes", "ingredients") + f", {_ROWS} SELECT DISTINCT list_id, title FROM k")
+def list_recipe_names(spark, sf_dir):
+    return shopping.recipe_names(shopping.consolidated(_list_rows(spark, sf_dir)))
+
+
+@query(with_("recipes") + " SELECT list_id, CAST(count(DISTINCT id) AS BIGINT) AS n FROM recipes GROUP BY 1")
+def selected_counts(spark, sf_dir):
+    return shopping.selected_counts(relation(spark, sf_dir, "recipes"))
+
+
+@query("SELECT p_name AS query, CAST(min(p_partkey) AS BIGINT) AS rank, arg_min(p_retailprice, p_partkey) AS price FROM part WHERE p_size % 3 < 2 GROUP BY 1")
+def top_foods(spark, sf_dir):
+    kind = F.when(F.col("p_size") % 3 == 0, "Foundation").when(F.col("p_size") % 3 == 1, "SR Legacy").otherwise("Branded")
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("query"), F.col("p_partkey").alias("rank"), kind.alias("kind"), F.col("p_retailprice").alias("price"))
+    return nutrition.top_foods(rows).select("query", "rank", "price")
+
+
+@query(
+    """SELECT r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'a, b' ELSE 'mixed' END AS categories, CASE WHEN r_regionkey = 1 THEN 'look' ELSE 'all' END AS guidance FROM region"""
+)
+def zone_context(spark, sf_dir):
+    region = table(spark, sf_dir, "region")
+    lists = F.when(F.col("r_regionkey") % 2 == 0, '["a","b"]').when(F.col("r_regionkey") == 1, "[]")
+    strategy = F.when(F.col("r_regionkey") == 1, "spot_check").otherwise("full_rescan")
+    return region.select(F.col("r_name").alias("name"), forms.list_or(lists).alias("categories"), forms.scan_guidance(strategy, "look", "all").alias("guidance"))
+
+
+@query(with_("recipes") + " SELECT id, CASE WHEN id % 3 = 0 THEN 'cookbook' WHEN id % 3 = 1 THEN 'web' END AS source_type, CASE WHEN id % 2 = 0 THEN 'a: ' || (id % 10 + 1) ELSE '' END AS ratings FROM recipes")
+def recipe_cards(spark, sf_dir):
+    given = F.when(F.col("id") % 3 == 1, "web").when(F.col("id") % 3 == 0, "")
+    photo = F.when(F.col("id") % 3 != 2, "p.jpg")
+    ratings = F.create_map(F.lit("a"), F.when(F.col("id") % 2 == 0, F.col("id") % 10 + 1), F.lit("b"), F.lit(None).cast("bigint"))
+    return relation(spark, sf_dir, "recipes").select("id", forms.source_type(given, photo).alias("source_type"), forms.rating_text(ratings).alias("ratings"))
+
+
+@query(with_("items") + " SELECT id, name, CASE WHEN id % 11 = 0 THEN 'Full' ELSE quantity_level END AS quantity_level FROM items")
+def set_level(spark, sf_dir):
+    items = relation(spark, sf_dir, "items").select("id", "name", "quantity_level")
+    return changes.set_field(items, items.where("id % 11 = 0"), "quantity_level", F.lit("Full"))
+
+
 # Extension: time windows
 
 

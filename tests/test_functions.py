@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from galley import rules
-from galley.functions import amounts, dates, extract, text
+from galley.functions import amounts, dates, extract, forms, text
 
 
 def column(spark, values, function, kind="string"):
@@ -110,3 +110,14 @@ def test_tags(spark):
 
 def test_json_lists(spark):
     assert column(spark, [None, "", "[]", '["a","b"]', "null"], extract.json_list) == [[], [], [], ["a", "b"], None]
+
+
+def test_forms(spark):
+    assert column(spark, ['"a": 1}'], forms.prefilled) == ['{"a": 1}']
+    assert column(spark, [{}, {"m": None}, {"m": "x"}], lambda d: forms.default_key(d, "m", "dinner"), "map<string,string>") == [{"m": "dinner"}, {"m": None}, {"m": "x"}]
+    assert [[tuple(r) for r in x] for x in column(spark, [["a ", " ", None, "b"]], forms.form_rows, "array<string>")] == [[(0, "a"), (3, "b")]]
+    assert column(spark, ["", None, "web"], lambda g: forms.source_type(g, F.lit("p.jpg"))) == ["cookbook", "cookbook", "web"]
+    assert column(spark, ["", None], lambda g: forms.source_type(g, F.lit(None).cast("string"))) == [None, None]
+    assert column(spark, [" http://x ", " ", None], forms.required) == ["http://x", None, None]
+    assert column(spark, [None, "[]", '["a","b"]', "null"], forms.list_or) == ["mixed", "mixed", "a, b", "mixed"]
+    assert column(spark, [[1, 2], [1]], lambda s: forms.toggled(s, F.lit(2)), "array<int>") == [[1], [1, 2]]

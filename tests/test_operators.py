@@ -147,3 +147,14 @@ def test_facets(spark):
     assert [r.id for r in catalog.facet_filter(recipes, "dinner").collect()] == [1, 2]
     assert [r.id for r in catalog.facet_filter(recipes, "", "fish", "thai").collect()] == [3]
     assert [r.value for r in catalog.facet_values(recipes, "cuisine").collect()] == ["thai"]
+
+
+def test_new_rows(spark):
+    from galley.schemas import DEFAULTS, RECIPES
+
+    new = spark.createDataFrame([(1, "Soup", "dinner", 9, "top")], "id long, title string, meal_type string, rating_first int, dish_photo_position string")
+    (row,) = changes.create_recipes(spark.createDataFrame([], RECIPES), new.withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}), DEFAULTS).collect()
+    assert (row.title, row.servings, row.rating_first, row.dish_photo_position) == ("Soup", 2, None, None)
+    zone = "struct<name:string,position_order:int,typical_categories:array<string>,typical_container_types:array<string>>"
+    drafts = spark.createDataFrame([(1, [("a", 0, ["x"], None), ("b", 0, [], []), ("c", 7, None, None)])], f"area_id int, zones array<{zone}>")
+    assert [tuple(r) for r in changes.zone_rows(drafts).collect()] == [(1, "a", 0, '["x"]', "[]"), (1, "b", 1, "[]", "[]"), (1, "c", 7, "[]", "[]")]
