@@ -15,7 +15,9 @@ ignored, and an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -88,25 +90,32 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)])
-        # all pairs of ids that make a token, and which
-        pairs = sorted(
-            (left << 20 | right, rank)
-            for token, rank in ranks.items()
-            for i in range(1, len(token))
-            if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None
-        )
-        self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.cache = PieceCache(self.encode_pieces)
         # all tokens joined, and where each lies
         self.spelled = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.length = np.array([len(t) for t in self.tokens])
         self.offset = np.cumsum(self.length) - self.length
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of ids that make a token, in order, and the tokens' ranks (a decoder doesn't need them)."""
+        keys, made = array("q"), array("q")
+        ranks = self.ranks
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    keys.append(left << 20 | right)
+                    made.append(rank)
+        order = np.argsort(np.array(keys))
+        return np.array(keys)[order], np.array(made)[order]
+
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the tokens that pairs of ids make, or -1."""
         keys = left << 20 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+        known, ranks = self.pairs
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, ranks[at], -1)
 
     def merge(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and how many of each, by one queue for all.

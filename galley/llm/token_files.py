@@ -20,7 +20,6 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -261,12 +260,5 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Tok
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
     """Encodes and writes every document, then digests what the files hold."""
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids").to_pylist()
-            yield common.batch(schema, [b.column("doc_id"), b.column("start"), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids]])
-
     files = write(common.table(spark, sf_dir, "documents"))
-    return files.documents().mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.documents().select("doc_id", "start", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
