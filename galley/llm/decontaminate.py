@@ -262,16 +262,15 @@ class _Search:
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int):
         common.prepare(docs.sparkSession)
-        self.window = window
+        self.window, self.ready = window, None
         self.blocks = [docs.sparkSession.sparkContext.broadcast(items) for items in blocks_of(benchmark)]
 
     def rows(self, texts: list[bytes]) -> list[tuple]:
         """The columns of SCHEMA but the first, for each text of a shard."""
         shard = Shard(texts)
-        if len(self.blocks) == 1:
-            ready = self.__dict__.setdefault("_ready", [Block(self.blocks[0].value, self.window)])
-        else:
-            ready = (Block(b.value, self.window) for b in self.blocks)
+        if len(self.blocks) == 1 and self.ready is None:  # a single block stays for the task's other shards
+            self.ready = [Block(self.blocks[0].value, self.window)]
+        ready = self.ready or (Block(b.value, self.window) for b in self.blocks)
         for block in ready:
             shard.search(block)
         return [(n, hits, items, spans, hits > 0 and 20 * hits >= n) for n, hits, items, spans in shard.results()]
