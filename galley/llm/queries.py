@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licences, media, pages, pii, quality, simhash, substrings, token_files
+from . import bpe, decontaminate, licences, media, oracles, pages, pii, quality, simhash, substrings, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licences": oracles.licences(), "op7_substring_dedup": oracles.SUBSTRINGS, "op8_decontaminate": oracles.DECONTAMINATE}

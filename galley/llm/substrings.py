@@ -5,7 +5,7 @@ immutable, each the sorted window hashes of the documents of one range of doc_id
 buckets by the hashes' top bits. A new batch becomes runs of its own, in ascending order of
 doc_id. In every bucket they are merge-joined with the historical runs, oldest first;
 an entry that an earlier run holds too is repeated. An entry is a 64-bit hash, stored as a
-difference to the one before, and 16 further bits of an independent hash that must agree.
+difference to the one before, and 32 further bits of an independent hash that must agree.
 What goes back to a run is a bit for each of its entries. ``commit`` adds the batch's runs
 to the history and ``compact`` merges the runs of each bucket into one.
 
@@ -38,18 +38,18 @@ HISTORY = -1
 
 
 def pack(hashes: np.ndarray, checks: np.ndarray) -> bytes:
-    """Sorted 64-bit hashes as differences in byte planes (as many as the largest needs), then the 16-bit checks."""
+    """Sorted 64-bit hashes as differences in byte planes (as many as the largest needs), then the 32-bit checks."""
     gaps = np.diff(hashes, prepend=np.uint64(0))
     planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + planes[:width].tobytes() + checks.astype("<u2").tobytes()
+    return bytes([width]) + planes[:width].tobytes() + checks.astype("<u4").tobytes()
 
 
 def unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     width = blob[0]
     planes = np.zeros((n, 8), np.uint8)
     planes[:, :width] = np.frombuffer(blob, np.uint8, width * n, 1).reshape(width, n).T
-    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64), np.frombuffer(blob, "<u2", n, 1 + width * n)
+    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64), np.frombuffer(blob, "<u4", n, 1 + width * n)
 
 
 class Windows:
@@ -75,7 +75,7 @@ class Windows:
             left = np.repeat(w.first[1:], np.diff(w.first))[: len(h)] - np.arange(len(h))  # words from here to the text's end
             at = np.flatnonzero(left >= window)
             hashes.append(h[at])
-            checks.append(c[at] >> np.uint64(48))
+            checks.append(c[at] >> np.uint64(32))
             word.append(at + base)
             base += len(w)
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
@@ -89,6 +89,7 @@ class Windows:
         self.by, self.group = by, np.cumsum(fresh) - 1
         self.hashes, self.checks = every[by[fresh]], check[by[fresh]]
         self.least = self.rank[by[fresh]]
+        self.agrees = check[by] == self.checks[self.group]
 
     def buckets(self, bits: int) -> np.ndarray:
         """Bounds of the buckets in the distinct windows."""
@@ -100,7 +101,7 @@ class Windows:
     def covered(self, earlier: np.ndarray) -> np.ndarray:
         """Which words a repeated window covers; earlier: which distinct windows an earlier run holds."""
         repeated = np.zeros(len(self.by), bool)
-        repeated[self.by] = earlier[self.group] | (self.rank[self.by] > self.least[self.group])
+        repeated[self.by] = self.agrees & (earlier[self.group] | (self.rank[self.by] > self.least[self.group]))
         start = self.word[repeated]
         edge = np.zeros(int(self.first[-1]) + 1, np.int64)
         np.add.at(edge, start, 1)
@@ -145,7 +146,7 @@ def merge_sorted(blobs: list[tuple[int, bytes]]) -> tuple[int, bytes]:
     order = np.lexsort((checks, hashes))
     hashes, checks = hashes[order], checks[order]
     fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (np.diff(hashes) != 0) | (np.diff(checks.astype(int)) != 0)
+    fresh[1:] = (np.diff(hashes) != 0) | (np.diff(checks.astype(np.int64)) != 0)
     return int(fresh.sum()), pack(hashes[fresh], checks[fresh])
 
 

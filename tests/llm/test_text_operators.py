@@ -422,3 +422,17 @@ def test_pages_query_equals_the_articles(spark, sf_dir):
 def test_duckdb_agrees_on_what_is_held_out(spark, sf_dir):
     got = {r.doc_id: r.h for r in read(spark, sf_dir).select("doc_id", quality.held_out().alias("h")).collect()}
     assert {d: zlib.crc32(str(d).encode()) % 3 == 1 for (d,) in duckdb.sql(f"SELECT doc_id FROM '{sf_dir}/documents.parquet'").fetchall()} == got
+
+
+@pytest.mark.parametrize("name", ["op2_licences", "op7_substring_dedup", "op8_decontaminate"])
+def test_query_equals_its_sql(spark, sf_dir, name):
+    from galley.llm import queries
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    ours = queries.queries()[name](spark, sf_dir)
+    theirs = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in theirs.description]
+    assert sorted(columns) == sorted(ours.columns)
+    assert sorted(map(tuple, ours.select(*columns).collect())) == sorted(theirs.fetchall())
