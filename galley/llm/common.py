@@ -92,10 +92,6 @@ def as_bytes(column) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
 
-def as_texts(column) -> list[str]:
-    return pc.fill_null(column, "").to_pylist()
-
-
 def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Bounds (first, last) of runs of texts of about ``most`` bytes, or one longer text."""
     first, size = 0, 0

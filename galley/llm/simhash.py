@@ -96,7 +96,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their group (the least doc_id); of rows with one doc_id, one stays."""
+    """The documents that name their group (the least doc_id); of rows with one doc_id, one stays.
+
+    A row without a doc_id names nothing and is left out.
+    """
     kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 

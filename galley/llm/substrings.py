@@ -150,6 +150,38 @@ def merge_sorted(blobs: list[tuple[int, bytes]]) -> tuple[int, bytes]:
     return int(fresh.sum()), pack(hashes[fresh], checks[fresh])
 
 
+def partition_keys(n: int) -> list[int]:
+    """Keys 0.. such that the i-th falls into the i-th of n hash partitions: a shuffle on them gives every task one run or bucket."""
+    keys, left, low = np.full(n, -1), n, 0
+    while left:
+        some = np.arange(low, low + 4 * n + 64)
+        at = murmur3(some).astype(np.int64) % n
+        first, where = np.unique(at, return_index=True)
+        fresh = keys[first] < 0
+        keys[first[fresh]] = some[where[fresh]]
+        left -= int(fresh.sum())
+        low += len(some)
+    return keys.tolist()
+
+
+def _keys(n: int) -> Column:
+    return F.array(*[F.lit(k).cast("long") for k in partition_keys(n)])
+
+
+def murmur3(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of longs (32-bit Murmur3 over two halves), signed."""
+    turned = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    wide = values.astype(np.uint64)
+    h = np.full(len(values), seed, np.uint32)
+    for half in ((wide & np.uint64(0xFFFFFFFF)).astype(np.uint32), (wide >> np.uint64(32)).astype(np.uint32)):
+        k = turned(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turned(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
 RUNS = "bucket long, run long, n long, blob binary"
 _RUNS = pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
 _SEEN = pa.schema([("run", pa.int64()), ("bucket", pa.int64()), ("seen", pa.binary())])
@@ -199,28 +231,32 @@ class FingerprintIndex:
         docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
         n_runs, run = self._plan(docs)
         bits, window = self.bits, self.window
-        # both uses below read this one exchange
-        dealt = docs.withColumn("run", run).repartition(n_runs, "run")
+        slot = F.get(_keys(n_runs), F.col("run").cast("int")).alias("slot")
+        # both uses below read this one exchange; each of its partitions is one run
+        dealt = docs.withColumn("run", run).select("*", slot).repartition(n_runs, "slot")
 
-        def to_runs(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        def to_runs(table: pa.Table) -> pa.Table:
             w = Windows(*_columns(table), window)
             bounds = w.buckets(bits).tolist()
-            rows = [(b, key[0].as_py(), y - x, pack(w.hashes[x:y], w.checks[x:y])) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
+            number = table.column("run")[0].as_py()
+            rows = [(b, number, y - x, pack(w.hashes[x:y], w.checks[x:y])) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
             return pa.Table.from_batches([common.batch(_RUNS, list(zip(*rows, strict=True)) if rows else [[]] * 4)])
 
-        runs = dealt.groupBy("run").applyInArrow(to_runs, RUNS)
+        runs = dealt.groupBy("slot").applyInArrow(to_runs, RUNS)
         if keep:
             self._pending = runs = common.stored(runs, "runs")
         past = runs
         for old in self.history:
             past = past.union(old)
 
-        def to_seen(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        def to_seen(table: pa.Table) -> pa.Table:
+            bucket = table.column("bucket")[0].as_py()
             held = list(zip(*(table.column(c).to_pylist() for c in ("run", "n", "blob")), strict=True))
-            rows = [(r, key[0].as_py(), np.packbits(seen).tobytes()) for r, n, seen in merge_runs(held) if r > HISTORY and seen.any()]
+            rows = [(r, bucket, np.packbits(seen).tobytes()) for r, n, seen in merge_runs(held) if r > HISTORY and seen.any()]
             return pa.Table.from_batches([common.batch(_SEEN, list(zip(*rows, strict=True)) if rows else [[]] * 3)])
 
-        seen = past.groupBy("bucket").applyInArrow(to_seen, "run long, bucket long, seen binary")
+        place = F.get(_keys(1 << bits), F.col("bucket").cast("int")).alias("place")
+        seen = past.select("*", place).repartition(1 << bits, "place").groupBy("place").applyInArrow(to_seen, "run long, bucket long, seen binary")
 
         def to_kept(table: pa.Table, answers: pa.Table) -> pa.Table:
             w = Windows(*_columns(table), window)
@@ -232,7 +268,7 @@ class FingerprintIndex:
             rows = [(i, n, removed, text.decode()) for i, n, removed, text in w.kept_texts(w.covered(earlier))]
             return pa.Table.from_batches([common.batch(_KEPT, list(zip(*rows, strict=True)) if rows else [[]] * 4)])
 
-        return dealt.groupBy("run").cogroup(seen.groupBy("run")).applyInArrow(to_kept, "doc_id long, n_words long, n_removed long, text string")
+        return dealt.groupBy("slot").cogroup(seen.select("*", slot).groupBy("slot")).applyInArrow(to_kept, "doc_id long, n_words long, n_removed long, text string")
 
     def commit(self) -> None:
         """Adds the last batch's runs to the history."""

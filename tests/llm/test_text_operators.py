@@ -173,6 +173,15 @@ def test_runs_pack_and_merge():
     assert [(n, s.tolist()) for n, _, s in seen] == [(2, [False] * 3), (4, [True, False, False])]  # 9 has another check
 
 
+def test_every_partition_gets_one_run(spark):
+    from pyspark.sql import functions as F
+
+    keys = substrings.partition_keys(37)
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").repartition(37, "k").select("k", F.spark_partition_id().alias("p"), F.hash("k").alias("h")).collect()
+    assert {r.k: r.p for r in rows} == dict(zip(keys, range(37), strict=True))
+    assert substrings.murmur3(np.array([r.k for r in rows])).tolist() == [r.h for r in rows]
+
+
 def test_substrings_of_odd_rows(spark):
     got = substrings.FingerprintIndex(spark).ingest(frame(spark, ODD), keep=False).collect()
     assert len(got) == len(ODD) and {r.n_removed for r in got} == {0} and next(r for r in got if r.doc_id == 5).n_words == 40_000
