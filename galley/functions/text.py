@@ -34,12 +34,16 @@ def literal(word: str) -> str:
     return "".join(c if c.isalnum() or c in " _" else f"\\{c}" for c in word)
 
 
+#: All descriptors in one pass, longer ones first. Taking them out one after the other gives the
+#: same: where two of them overlap one is the end of the other, and what is left of a name has two
+#: spaces where a word was, so no new phrase comes up.
+STRIP_PATTERN = r"(?U)\b(?:" + "|".join(literal(w) for w in sorted(rules.STRIP_WORDS, key=lambda w: -len(w))) + r")\b"
+
+
 def normalize_name(name: Column) -> Column:
     """An ingredient's name for merging: lower case, without notes, descriptors and punctuation, aliases resolved."""
     x = F.replace(strip(F.lower(name)), F.lit("-"), F.lit(" "))
-    x = F.regexp_replace(x, r"\([^)]*\)", "")
-    for word in rules.STRIP_WORDS:
-        x = F.regexp_replace(x, rf"(?iU)\b{literal(word)}\b", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"\([^)]*\)", ""), STRIP_PATTERN, "")
     x = strip(F.regexp_replace(F.regexp_replace(x, "[,;]+", ""), r"(?U)\s+", " "))
     first = bind(x, lambda n: F.coalesce(lookup(rules.NAME_ALIASES, n), n))
     bare = lambda n: strip(F.regexp_replace(n, r"(?U),?\s*(cubed|crumbled|halved|patted dry|cut into .*)$", ""))

@@ -121,3 +121,19 @@ def test_forms(spark):
     assert column(spark, [" http://x ", " ", None], forms.required) == ["http://x", None, None]
     assert column(spark, [None, "[]", '["a","b"]', "null"], forms.list_or) == ["mixed", "mixed", "a, b", "mixed"]
     assert column(spark, [[1, 2], [1]], lambda s: forms.toggled(s, F.lit(2)), "array<int>") == [[1], [1, 2]]
+
+
+def test_one_pass_takes_out_what_many_do(spark):
+    import random
+    import re
+
+    r = random.Random(7)
+    parts = [w for phrase in rules.STRIP_WORDS for w in (phrase, *phrase.split())] + ["salt", "oil", ",", "-", "é"]
+    names = [" ".join(r.choice(parts) for _ in range(r.randint(1, 7))).replace("-", " ") for _ in range(3000)]
+
+    def many(name):
+        for word in rules.STRIP_WORDS:
+            name = re.sub(rf"\b{re.escape(word)}\b", "", name)
+        return name
+
+    assert column(spark, names, lambda x: F.regexp_replace(x, text.STRIP_PATTERN, "")) == [many(n) for n in names]
