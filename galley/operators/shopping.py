@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from galley import rules
 from galley.functions import amounts, text
+from galley.functions.text import bind
 
 _STATE = (
     "struct<name:string,amount:string,unit:string,category:string,base:double,base_unit:string,orig_unit:string,titles:array<string>,first:bigint>"
@@ -42,23 +43,28 @@ def _step(s: Column, r: Column, literal_none: bool) -> Column:
         appended = F.when(s["amount"].isNull(), F.concat_ws(" ", r["amount"], F.nullif(r["norm_unit"], F.lit("")))).otherwise(appended)
     both = r["parsed"].isNotNull() & s["base"].isNotNull()
     new, old = amounts.to_base(r["parsed"], r["norm_unit"]), amounts.to_base(s["base"], s["base_unit"])
-    converts = both & F.coalesce(new["unit"] == old["unit"], F.lit(False))
-    total = new["value"] + old["value"]
-    shown = amounts.display(total, new["unit"])
     same = both & (r["norm_unit"] == s["orig_unit"])
     plain = r["parsed"] + s["base"]
-    after = F.struct(
-        s["name"].alias("name"),
-        F.when(converts, shown["amount"]).when(same, amounts.plain_text(plain)).when(given, appended).otherwise(s["amount"]).alias("amount"),
-        F.when(converts, shown["unit"]).otherwise(s["unit"]).alias("unit"),
-        s["category"].alias("category"),
-        F.when(converts, total).when(same, plain).otherwise(s["base"]).alias("base"),
-        F.when(converts, new["unit"]).otherwise(s["base_unit"]).alias("base_unit"),
-        s["orig_unit"].alias("orig_unit"),
-        F.array_distinct(F.array_append(s["titles"], r["title"])).alias("titles"),
-        s["first"].alias("first"),
-    ).cast(_STATE)
-    return F.when(s.isNull(), start).otherwise(after)
+
+    # the amount, its unit, the number behind it and that number's unit, by the first case that holds
+    def parts(amount: Column, unit: Column, base: Column, base_unit: Column) -> Column:
+        return F.struct(amount.alias("amount"), unit.alias("unit"), base.alias("base"), base_unit.alias("base_unit"))
+
+    def converted(pair: Column) -> Column:
+        total = pair["new"]["value"] + pair["old"]["value"]
+        shown = bind(F.struct(total.alias("total"), amounts.display(total, pair["new"]["unit"]).alias("d")), lambda x: parts(x["d"]["amount"], x["d"]["unit"], x["total"], pair["new"]["unit"]))
+        return F.when(pair["new"]["unit"] == pair["old"]["unit"], shown)
+
+    merged = F.coalesce(
+        F.when(both, bind(F.struct(new.alias("new"), old.alias("old")), converted)),
+        F.when(same, parts(amounts.plain_text(plain), s["unit"], plain, s["base_unit"])),
+        parts(F.when(given, appended).otherwise(s["amount"]), s["unit"], s["base"], s["base_unit"]),
+    )
+    after = lambda m: F.struct(
+        s["name"].alias("name"), m["amount"].alias("amount"), m["unit"].alias("unit"), s["category"].alias("category"), m["base"].alias("base"), m["base_unit"].alias("base_unit"),
+        s["orig_unit"].alias("orig_unit"), F.array_distinct(F.array_append(s["titles"], r["title"])).alias("titles"), s["first"].alias("first"),
+    ).cast(_STATE)
+    return F.when(s.isNull(), start).otherwise(bind(merged, after))
 
 
 def consolidated(rows: DataFrame, literal_none: bool = True) -> DataFrame:
