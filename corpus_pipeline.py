@@ -21,9 +21,9 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near-copies."""
+    """Keeps one row of each group of near-copies: the one with the least doc_id, nulls last."""
     common.prepare(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_survivors(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

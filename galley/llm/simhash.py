@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -59,19 +59,20 @@ def fingerprint_many(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: each text's fingerprint as a signed long of the same bits."""
+def fingerprints(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, fp, others: each text's fingerprint as a signed long of the same bits, and further columns of longs."""
     common.prepare(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "fp", *others)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = common.as_bytes(b.column("text"))
             parts = [fingerprint_many(texts[i:j]) for i, j in common.chunks(texts)]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield common.batch(schema, [b.column("doc_id"), fp.view(np.int64)])
+            yield common.batch(schema, [b.column("doc_id"), fp.view(np.int64), *(b.column(n) for n in others)])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *others)
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", "fp", *others)))
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -83,12 +84,17 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("m").alias("b"))
 
 
+def _rooted(prints: DataFrame, least: Column) -> DataFrame:
+    """fp, least, root of each distinct fingerprint: the aggregate of its rows, and the fingerprint that stands for its group."""
+    nodes = prints.groupBy("fp").agg(least.alias("least"))
+    roots = components(links(nodes))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row; component_id is the least doc_id of the row's group."""
     prints = common.stored(fingerprints(docs), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.min("doc_id"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
     # a fingerprint may hold a third of all rows: this join is one that Spark can split
@@ -104,6 +110,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
+def keep_survivors(docs: DataFrame) -> DataFrame:
+    """One row of every group, whatever its doc_id: the least doc_id, nulls last, then the least hash of its text.
+
+    Rows that share a doc_id but lie in different groups all stay.
+    """
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    # two hashes of the text, 128 bits, stand for it beside the doc_id
+    keyed = docs.withColumns({"_id": docs["doc_id"].cast("long"), "_h": F.xxhash64(text), "_k": F.xxhash64(F.lit(1), text)})
+    prints = common.stored(fingerprints(keyed, "_h", "_k"), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_h").alias("h"), F.col("_k").alias("k")))
+    kept = _rooted(prints, first).groupBy("root").agg(F.min("least").alias("s")).select("s.id", "s.h", "s.k")
+    same = keyed["_id"].eqNullSafe(kept["id"]) & (keyed["_h"] == kept["h"]) & (keyed["_k"] == kept["k"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_id", "_h", "_k"]).select(*docs.columns)
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = groups(common.table(spark, sf_dir, "documents"))

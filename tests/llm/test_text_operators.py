@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from galley.llm import common, components, crf, decontaminate, licences, media, pages, pii, quality, simhash, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int"
@@ -118,6 +119,22 @@ def test_simhash_of_odd_rows(spark):
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
 
 
+def test_one_row_of_every_group_survives(spark):
+    rows = [
+        (1, "alpha beta gamma delta", "en", "s", 0, 1), (1, "quite another text of its own", "en", "s", 0, 1), (2, "alpha beta gamma delta", "en", "s", 0, 1), (None, "alpha beta gamma delta", "en", "s", 0, 1),
+        (None, "all of this group lacks ids", "en", "s", 0, 1), (None, "all of this group lacks ids", "en", "s", 0, 1), (None, "two words", "en", "s", 0, 1),
+        (7, "again the same row", "en", "s", 0, 1), (7, "again the same row", "en", "s", 0, 1), (8, None, "en", "s", 0, 1), (None, "", "en", "s", 0, 1),
+    ]
+    got = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")
+    assert got.columns == frame(spark, []).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted(
+        [(1, "alpha beta gamma delta"), (1, "quite another text of its own"), (0, "all of this group lacks ids"), (0, "two words"), (7, "again the same row"), (8, "")]
+    )
+    kept = simhash.keep_survivors(frame(spark, ODD)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, ""), (4, "one"), (0, "two words"), (5, "word " * 40_000)])
+    assert simhash.keep_survivors(frame(spark, [])).count() == 0
+
+
 # Passages
 
 
