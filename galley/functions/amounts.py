@@ -82,9 +82,11 @@ def _either(x: Column, one: str, many: str) -> Column:
     return F.when(whole(x), F.struct(_int_text(x).alias("amount"), F.lit(one).alias("unit"))).otherwise(F.struct(one_decimal(x).alias("amount"), F.lit(many).alias("unit")))
 
 
-def display(value: Column, base: Column) -> Column:
-    """struct(amount, unit) that shows a number of tablespoons or ounces."""
-    volume = F.when(value >= 16, _either(value / 16, "cup", "cups")).when(value >= 1, _either(value, "tbsp", "tbsp")).otherwise(_either(value * 3, "tsp", "tsp"))
+def display(value: Column, base: Column, digits: int | None = None) -> Column:
+    """struct(amount, unit) that shows a number of tablespoons or ounces; digits: of rounding before, so that thirds added in any order show the same."""
+    near = (lambda x: x) if digits is None else (lambda x: F.round(x, digits))
+    spoons, value = near(value * 3), near(value)
+    volume = F.when(value >= 16, _either(value / 16, "cup", "cups")).when(value >= 1, _either(value, "tbsp", "tbsp")).otherwise(_either(spoons, "tsp", "tsp"))
     weight = F.when(value >= 16, _either(value / 16, "lb", "lbs")).otherwise(_either(value, "oz", "oz"))
     return F.when(base == "tbsp", volume).otherwise(weight)
 

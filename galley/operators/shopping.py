@@ -19,6 +19,8 @@ from galley.functions.text import bind
 _STATE = (
     "struct<name:string,amount:string,unit:string,category:string,base:double,base_unit:string,orig_unit:string,titles:array<string>,first:bigint>"
 )
+#: Decimals of a total that don't depend on the order of adding.
+DIGITS = 9
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -109,7 +111,8 @@ def sums(rows: DataFrame) -> DataFrame:
     """list_id, norm, base_unit, total, amount, unit of keys whose amounts are all of one kind: a plain aggregation.
 
     Equals the fold where every amount is read, at least two rows come, the first amount
-    isn't 0, and all units convert to one base.
+    isn't 0, and all units convert to one base; but for the last digits of thirds and grams,
+    which depend on the order of adding: what is shown is rounded to DIGITS first.
     """
     base = amounts.to_base(F.col("parsed"), F.col("norm_unit"))
     kept = prepared(rows).withColumn("base", base)
@@ -118,7 +121,7 @@ def sums(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n_rows"), F.count("base.value").alias("_read"),
     )
     fit = added.where((F.col("base_unit") == F.col("_other")) & (F.col("n_rows") == F.col("_read")) & (F.col("n_rows") > 1))
-    shown = amounts.display(F.col("total"), F.col("base_unit"))
+    shown = amounts.display(F.col("total"), F.col("base_unit"), DIGITS)
     return fit.select("list_id", "norm", "base_unit", "n_rows", "total", shown["amount"].alias("amount"), shown["unit"].alias("unit"))
 
 

@@ -223,6 +223,23 @@ def unit_convert_sum(spark, sf_dir):
     return shopping.sums(_list_rows(spark, sf_dir).where(f"unit IN {_EXACT_UNITS}"))
 
 
+_SPOONS = f"round(total * 3, {shopping.DIGITS})"
+
+
+@query(
+    with_("recipes", "ingredients")
+    + f""", {_ROWS},
+    b AS (SELECT list_id, norm, p * {duck.base_factor("nu")} AS v, {duck.base_unit("nu")} AS u FROM k),
+    t AS (SELECT list_id, norm, min(u) AS base_unit, CAST(count(*) AS BIGINT) AS n_rows, sum(v) AS total FROM b GROUP BY 1, 2 HAVING min(u) = max(u) AND count(*) = count(v) AND count(*) > 1),
+    n AS (SELECT *, round(total, {shopping.DIGITS}) AS near FROM t)
+    SELECT list_id, norm, base_unit, n_rows, near AS total,
+    CASE WHEN base_unit = 'tbsp' AND near < 1 THEN {duck._shown(_SPOONS)} ELSE {duck.display_amount("near", "base_unit")} END AS amount, {duck.display_unit("near", "base_unit")} AS unit FROM n"""
+)
+def unit_convert_sum_all(spark, sf_dir):
+    """unit_convert_sum over all units: a key with an amount that can't be converted has no total."""
+    return shopping.sums(_list_rows(spark, sf_dir)).withColumn("total", F.round("total", shopping.DIGITS))
+
+
 # Nutrition
 
 

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from galley import rules
 from galley.operators import catalog, changes, extraction, inventory, nutrition, shopping
+from galley.plans import queries
 from galley.sources import media, tables
 
 ROW = "list_id int, pos int, title string, name string, amount string, unit string, category string"
@@ -47,6 +49,24 @@ def test_sums_equal_the_fold_where_they_apply(spark):
     assert {x.list_id: (x.amount, x.unit) for x in shopping.sums(df).collect()} == fold
 
 
+def test_sums_over_all_units(spark, sf_dir):
+    rows = [(1, 0, "A", "milk", "1", "cup", None), (1, 1, "A", "milk", "3", "tsp", None), (2, 0, "A", "milk", "1", "cup", None), (2, 1, "A", "milk", "2", "cloves", None), (2, 2, "A", "milk", "1", "cup", None)]
+    rows += [(3, i, "A", "milk", "1/4", "tsp", None) for i in range(27)] + [(4, i, "A", "milk", "1", "tsp", None) for i in range(2)]
+    got = {x.list_id: (x.n_rows, x.amount, x.unit) for x in shopping.sums(spark.createDataFrame(rows, ROW)).collect()}
+    assert got == {1: (2, "1.1", "cups"), 3: (27, "2.2", "tbsp"), 4: (2, "2", "tsp")}
+    # the query totals exactly the keys whose every row converts to one base, with all of their rows
+    kept = {}
+    for r in shopping.prepared(queries._list_rows(spark, sf_dir)).collect():
+        kept.setdefault((r.list_id, r.norm), []).append((r.parsed, r.norm_unit))
+    expected = {}
+    for key, amounts in kept.items():
+        for base, table in (("tbsp", rules.TBSP_PER_UNIT), ("oz", rules.OZ_PER_UNIT)):
+            if len(amounts) > 1 and all(p is not None and u in table for p, u in amounts):
+                expected[key] = (base, len(amounts), pytest.approx(sum(p * table[u] for p, u in amounts)))
+    found = {(r.list_id, r.norm): (r.base_unit, r.n_rows, r.total) for r in queries.QUERIES["unit_convert_sum_all"](spark, sf_dir).collect()}
+    assert found == expected and found
+
+
 def test_list_rows_follow_the_request(spark):
     recipes = spark.createDataFrame([(1, "One"), (2, "Two")], "id int, title string")
     ingredients = spark.createDataFrame([(1, 1, "b", "1", "g", 1, None), (2, 1, "a", "1", "g", 0, None), (3, 2, "c", "1", "g", 0, None)], "id int, recipe_id int, name string, amount string, unit string, order int, category string")
