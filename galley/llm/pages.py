@@ -3,7 +3,9 @@
 A page is parsed into a tree in one pass (unclosed paragraphs, list items and cells close
 as browsers close them). Branches that can't hold the article are dropped: navigation,
 footers, asides, forms, scripts, styles, and elements whose class, id or role names such a
-part. Every paragraph earns points for its length and its commas and passes them on, whole
+part. A name drops no branch around the page's article, and inside an article it drops
+headings and sections only if the whole name is of such a part. Captions, formulas and the
+labels of drawings are text; what stands in for scripts or objects is not. Every paragraph earns points for its length and its commas and passes them on, whole
 to its parent, a half to the next ancestor, then a third and so on; an ancestor's
 points are discounted by the share of its text that lies in links. The best container is
 kept with those of its siblings that score enough or are prose; what is kept gives the text
@@ -31,8 +33,8 @@ _WORD = re.compile("[a-z]+|[0-9]+")
 
 # Elements of HTML by what they do to the text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg math select object audio video canvas xmp".split())
-_DROPPED = frozenset("nav footer aside form button dialog menu head fieldset figcaption".split())
+_RAW = frozenset("script style textarea title noscript iframe noembed noframes template select object audio video canvas xmp".split())
+_DROPPED = frozenset("nav footer aside form button dialog menu head fieldset annotation annotation-xml desc metadata".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -49,6 +51,15 @@ _BESIDE = frozenset(
     "trending popular newsletter subscribe subscription signup login cookie cookies consent notice notices gdpr popup modal overlay toolbar widget widgets "
     "pagination pager search skip outbrain taboola paywall contentinfo complementary dialog alert".split()
 )
+#: Those of them that also name what an article is about, or how it is laid out.
+_UNSURE = frozenset(
+    "discussion search social popular notice notices alert dialog overlay toolbar widget widgets reply replies respond modal trending recommended "
+    "recommendations banner promotion rail skip subscription subscribe login signup complementary sharing aside".split()
+)
+#: Words of a name that only say what kind of box it is; and that a box has, or lacks, the part that it names.
+_BOXES = frozenset("section area box list block wrapper container posts articles links form buttons bar".split())
+_HAVING = frozenset("has with without no".split())
+_ARTICLES = ("article", "main")
 #: Parts that are kept whatever their other names say.
 _CONTENT = frozenset("article main content body post entry story text prose".split())
 
@@ -56,33 +67,82 @@ _CONTENT = frozenset("article main content body post entry story text prose".spl
 SIBLING_SHARE, SIBLING_PROSE = 0.2, 80
 
 
-def _beside(name: str, attributes: str) -> bool:
-    """Whether the attributes name a part beside the article."""
+def _beside(name: str, attributes: str, inside: bool) -> tuple[bool, int]:
+    """Whether the element is hidden, and how surely its names are of a part beside the article: 0, 1 or 2. inside: it lies in an article."""
     words: set[str] = set()
+    parts: list[set[str]] = []
+    titled = name in _HEADINGS or name == "section"
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" and m.start() and attributes[m.start() - 1].isspace() or key == "aria-hidden" and value == "true":
-            return True
+            return True, 0
         if key == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
+                return True, 0
         elif key != "hidden":
-            words.update(_WORD.findall(value))
-    if not words & _BESIDE:
-        return False
-    return name not in ("article", "main", "body", "html") and not (words & _CONTENT and not words & {"comment", "comments", "ad", "ads", "sidebar", "nav", "menu", "footer", "related", "newsletter", "share"})
+            for one in value.split():
+                own = set(_WORD.findall(one))
+                titled = titled or own == {"section"}
+                if own & _HAVING:
+                    own -= _BESIDE
+                words |= own
+                if key != "id" or name not in _HEADINGS:  # a heading's id is its own words
+                    parts.append(own)
+    if inside and titled:
+        return False, 2 * any(own <= _BESIDE | _BOXES and own & (_BESIDE - _UNSURE) for own in parts)
+    if not words & _BESIDE or words & _CONTENT and not words & {"comment", "comments", "ad", "ads", "sidebar", "nav", "menu", "footer", "related", "newsletter", "share"}:
+        return False, 0
+    return False, 1 + bool(words & (_BESIDE - _UNSURE))
 
 
 class Tree:
-    """Nodes in document order: parent, name and whether dropped; and texts: node, block number, text."""
+    """Nodes in document order: parent, name, whether gone for good, how surely named as a part beside the article, and whether dropped; and texts: node, block number, text."""
 
     def __init__(self, page: str):
-        self.parent, self.name, self.dropped = [-1], ["#"], [False]
+        self.parent, self.name, self.gone, self.named, self.dropped = [-1], ["#"], [False], [0], [False]
         self.texts: list[tuple[int, int, str]] = []
         self._parse(page)
+        self.settle(frozenset())
+
+    def settle(self, back: set[int] | frozenset[int]) -> None:
+        """Drops what is gone, and the branches that names drop but for the nodes to bring back."""
+        self.dropped = [False] * len(self.name)
+        for i in range(1, len(self.name)):
+            # an article or main element is no part beside itself
+            beside = self.named[i] and i not in back and self.name[i] not in ("article", "main", "body", "html")
+            self.dropped[i] = self.gone[i] or bool(beside) or self.dropped[self.parent[i]]
+
+    def above(self, node: int) -> set[int]:
+        """The nodes around this one."""
+        out = set()
+        while (node := self.parent[node]) > 0:
+            out.add(node)
+        return out
+
+    def brought_back(self, points: list[float], size: list[int]) -> set[int]:
+        """The named nodes around the article or, where there is none, around the best container. points, size: without them."""
+        n = range(1, len(self.name))
+        if any(size[i] and self.name[i] in _ARTICLES for i in n):
+            return set()
+        self.settle(set(n))
+        more, sizes, _ = self.scores()
+        if found := [i for i in n if self.name[i] in _ARTICLES and sizes[i] and not self.named[i]]:
+            return self.above(max(found, key=lambda i: (more[i], -i)))
+        if not size[0]:  # nothing else is there: what lies in an outermost named node
+            under = [False] * len(self.name)
+            for i in n:
+                under[i] = under[self.parent[i]] or self.named[self.parent[i]] > 0
+            self.settle({i for i in n if not under[i]})
+            more, _, _ = self.scores()
+            best = max(n, key=lambda i: (more[i], -i))
+            return self.above(best) | ({best} if self.named[best] == 1 else set()) if self.named[best] < 2 else set()
+        self.settle({i for i in n if self.named[i] == 1})
+        more, _, _ = self.scores()
+        best = max(n, key=lambda i: (more[i], -i))
+        return self.above(best) | {best} if more[best] > max(points) else set()
 
     def _parse(self, page: str) -> None:
-        parent, names, dropped, texts = self.parent, self.name, self.dropped, self.texts
+        parent, names, gone_for_good, named, texts = self.parent, self.name, self.gone, self.named, self.texts
         stack, block, at = [0], 0, 0
 
         def close(to: int) -> None:
@@ -99,7 +159,7 @@ class Tree:
 
         search = _TAG.search
         while m := search(page, at):
-            if m.start() > at and not dropped[stack[-1]]:
+            if m.start() > at and not gone_for_good[stack[-1]]:
                 texts.append((stack[-1], block, page[at : m.start()]))
             at = m.end()
             if not m[2]:
@@ -141,19 +201,24 @@ class Tree:
                 if depth:
                     close(depth)
             above = stack[-1]
-            gone = dropped[above]
+            gone, beside = gone_for_good[above], 0
             if not gone:
-                gone = name in _DROPPED or bool(m[3]) and _beside(name, m[3])
+                if m[3]:
+                    gone, beside = _beside(name, m[3], find({"article", "main"}, frozenset()) > 0)
+                gone = gone or name in _DROPPED
                 if name == "header":  # the page's; an article's own keeps its headings
                     gone = gone or find({"article", "main"}, frozenset()) == 0
                 elif find({"header"}, frozenset()) and name not in _HEADINGS and name in _BLOCKS and name not in ("div", "section"):
                     gone = True
             parent.append(above)
             names.append(name)
-            dropped.append(gone)
+            gone_for_good.append(gone)
+            named.append(beside)
+            if name in ("text", "tspan"):  # labels of a drawing
+                texts.append((len(names) - 1, block, " "))
             if not m[3].rstrip().endswith("/") or name in _BLOCKS:
                 stack.append(len(names) - 1)
-        if at < len(page) and not dropped[stack[-1]]:
+        if at < len(page) and not gone_for_good[stack[-1]]:
             texts.append((stack[-1], block, page[at:]))
 
     def blocks(self, inside: list[bool]) -> list[str]:
@@ -181,7 +246,7 @@ class Tree:
             scored[i] = self.name[i] in _SCORED and not self.dropped[i]
         for node, _, text in self.texts:
             length = 0 if text.isspace() else len(text)
-            if not length:
+            if not length or self.dropped[node]:
                 continue
             count = text.count(",") + text.count("，") + text.count("、")
             size[node] += length
@@ -223,6 +288,9 @@ def main_text(page: str | None) -> str:
     tree = Tree(page)
     points, size, linked = tree.scores()
     n = len(points)
+    if any(tree.named):
+        tree.settle(tree.brought_back(points, size))
+        points, size, linked = tree.scores()
     best = max(range(n), key=lambda i: (points[i], -i))
     chosen = {best}
     if points[best] > 0:

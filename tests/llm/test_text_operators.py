@@ -435,6 +435,21 @@ def test_main_text():
         assert pages.main_text(text) == out
 
 
+def test_main_text_keeps_the_whole_article():
+    side = '<div class="sidebar"><p>side, side, side, side, side, side</p></div>'
+    for name in ("layout has-sidebar", "content with-sidebar", "sidebar-right", "widget"):
+        assert pages.main_text(f'<body><div class="{name}"><article><p>One, two</p></article>{side}</div></body>') == "One, two", name
+    for name in ("layout has-sidebar", "social", "discussion"):
+        assert pages.main_text(f'<body><div class="{name}"><div><p>One, two, three, four</p><p>Five</p></div>{side}</div><p>c</p></body>') == "One, two, three, four\n\nFive", name
+    assert pages.main_text(f'<body><div class="sidebar-right"><div><p>One, two</p></div>{side}</div></body>') == "One, two"
+    page = """<article><h1>T</h1><p>a, b</p><h2 id="search">Search</h2><p>c</p><h2 id="related-work">Related work</h2><p>d</p><section id="discussion"><h2>Discussion</h2><p>e</p></section>
+    <div class="section" id="search"><p>f</p></div><figure><img><figcaption>A caption</figcaption></figure><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> says</p>
+    <svg><title>t</title><style>s</style><text>Axis</text><text>Bar</text></svg><section class="related-posts"><p>g</p></section><section id="comments"><p>h</p></section><div class="ad">i</div></article>"""
+    assert pages.main_text(page) == "T\n\na, b\n\nSearch\n\nc\n\nRelated work\n\nd\n\nDiscussion\n\ne\n\nf\n\nA caption\n\nAs x=2 says\n\nAxis Bar"
+    assert pages.main_text('<body><article><p>One</p></article><div class="comments"><article><p>nice, very, nice, comment</p></article></div></body>') == "One"
+    assert pages.main_text('<body><div class="comments"><p>nice, very, nice</p></div></body>') == ""
+
+
 def test_pages_query_equals_the_articles(spark, sf_dir):
     import html
 
