@@ -6,7 +6,10 @@ licences, permissions or people named Apache). A temperature fitted to notices t
 kept out calibrates its probabilities; "unknown" is a class like the others. On the
 cluster a paragraph's words are looked up in a bitmap of the words that some weight hangs
 on; only where one is found are weights added up. A predicted family is confirmed when
-most word triples of one of its notices are in the paragraph.
+most word triples of one of its notices are in the paragraph. A line that isn't confirmed
+alone is scored again among the lines around it, up to the next blank ones: a notice that
+is wrapped over several lines, with or without comment signs, confirms each of its lines
+that has triples of it.
 
 The scan is one narrow pass: no shuffle, no join and no Python, however skewed the input.
 
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 UNKNOWN = "unknown"
+#: A line that is unknown with less than this probability (0.95 without any known word) is scored among its neighbours.
+DOUBT = 0.9
 #: Bits of the table of words; a prediction needs this probability; a notice is met with this share of its triples.
 TABLE_BITS, LEAST, SHARE = 1 << 16, 0.5, 0.8
 
@@ -196,6 +201,10 @@ def templates() -> dict[str, list[list[str]]]:
     return {f: [_triples(t) for t in NOTICES[f] + framed.get(f, [])] for f in NOTICES}
 
 
+#: Words of the longest notice: so many words, and lines, on either side of a line can belong to its notice.
+LONGEST = max(len(words_of(t)) for ts in NOTICES.values() for t in ts)
+
+
 def _doubles(values: list[float]):
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -226,35 +235,84 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def logits(g):
         return F.aggregate(g, _doubles(model.start), lambda total, x: F.coalesce(F.zip_with(total, F.try_element_at(weights, x), lambda a, b: a + b), total))
 
+    def triples(w):
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(3)), " "))
+
+    def notices(family):
+        return F.transform(F.split(F.try_element_at(spelled, family), ";"), lambda t: F.split(t, ","))
+
     def similarity(w, family):
-        triples = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(3)), " "))
-        notices = F.transform(F.split(F.try_element_at(spelled, family), ";"), lambda t: F.split(t, ","))
-        return F.array_max(F.transform(notices, lambda t: F.size(F.array_intersect(t, triples)) / F.size(t)))
+        return F.array_max(F.transform(notices(family), lambda t: F.size(F.array_intersect(t, triples(w))) / F.size(t)))
+
+    # numbers become 0 and everything else but a-z a gap, as in words_of
+    def spaced(line):
+        return F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", " 0 "), "[^a-z0]+", " ")), " ")
+
+    def probability(z, of):
+        top = F.array_max(z)
+        return F.round(F.exp((of - top) / model.temperature) / F.aggregate(z, F.lit(0.0), lambda t, v: t + F.exp((v - top) / model.temperature)), 4)
+
+    def around(s, lines, at):
+        """What a line that isn't confirmed is among its neighbours; an array of one element, or none."""
+        # blank lines, but for comment signs, are empty: two line feeds end a run
+        run = lambda some: F.array_join(F.transform(some, lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), x).otherwise("")), "\n")
+        before = F.substring_index(F.concat(run(F.slice(lines, F.greatest(at - LONGEST, F.lit(0)) + 1, F.least(at, F.lit(LONGEST)))), F.lit("\n")), "\n\n", -1)
+        after = F.substring_index(F.concat(F.lit("\n"), run(F.slice(lines, at + 2, F.lit(LONGEST)))), "\n\n", 1)
+        some = lambda text: F.filter(spaced(text), lambda w: w != "")
+        last = lambda w: F.slice(w, F.greatest(F.size(w) - LONGEST, F.lit(0)) + 1, F.lit(LONGEST))
+        sides = F.array(F.struct(F.transform(F.array(some(before)), last)[0].alias("b"), F.slice(some(after), 1, LONGEST).alias("a")))
+        wide = F.transform(sides, lambda x: F.struct(F.concat(x["b"], s["w"], x["a"]).alias("w"), F.array_union(triples(x["b"]), triples(x["a"])).alias("others")))
+        seen = F.transform(wide, lambda x: F.struct(triples(x["w"]).alias("all"), x["others"].alias("others"), logits(grams(x["w"])).alias("z")))
+
+        def tried(x):
+            best = F.get(names, (F.array_position(x["z"], F.array_max(x["z"])) - 1).cast("int"))
+
+            def of(family):
+                # the line counts only for notices that have triples of it
+                touched = F.filter(notices(family), lambda t: F.size(F.array_intersect(t, x["all"])) > F.size(F.array_intersect(t, x["others"])))
+                share = F.array_max(F.transform(touched, lambda t: F.size(F.array_intersect(t, x["all"])) / F.size(t)))
+                own = F.when(family == s["family"], s["probability"])
+                return F.struct(family.alias("family"), F.greatest(own, probability(x["z"], F.get(x["z"], (F.array_position(names, family) - 1).cast("int")))).alias("probability"), F.round(share, 4).alias("similarity"))
+
+            return F.transform(F.array_distinct(F.filter(F.array(s["family"], best), lambda f: f != UNKNOWN)), of)
+
+        held = F.filter(F.flatten(F.transform(seen, tried)), lambda c: (c["similarity"] >= SHARE) & (c["probability"] >= LEAST))
+        return F.slice(held, 1, 1)
 
     # Each step maps an array of one element, or none once a line has dropped out: a value
     # that a later step uses twice is then computed once, whatever the optimiser inlines.
-    rough = F.filter(F.array(F.split(F.lower("line"), "[^a-z]+")), lambda r: F.exists(r, known))
-    # numbers become 0 and everything else but a-z a gap, as in words_of
-    exact = F.transform(rough, lambda _: F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), "[0-9]+", " 0 "), "[^a-z0]+", " ")), " "))
-    scored = F.transform(exact, lambda w: F.struct(w.alias("w"), logits(grams(w)).alias("z")))
-    topped = F.transform(scored, lambda s: F.struct(s["w"].alias("w"), s["z"].alias("z"), F.array_max(s["z"]).alias("top")))
-    guessed = F.transform(
-        topped,
-        lambda s: F.struct(
-            s["w"].alias("w"),
-            F.get(names, (F.array_position(s["z"], s["top"]) - 1).cast("int")).alias("family"),
-            F.round(1 / F.aggregate(s["z"], F.lit(0.0), lambda t, v: t + F.exp((v - s["top"]) / model.temperature)), 4).alias("probability"),
-        ),
-    )
-    found = F.filter(guessed, lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= LEAST))
-    compared = F.transform(found, lambda s: F.struct(s["family"].alias("family"), s["probability"].alias("probability"), F.round(similarity(s["w"], s["family"]), 4).alias("similarity")))
+    def findings(line, lines, at):
+        rough = F.filter(F.array(F.split(F.lower(line), "[^a-z]+")), lambda r: F.exists(r, known))
+        exact = F.transform(rough, lambda _: spaced(line))
+        scored = F.transform(exact, lambda w: F.struct(w.alias("w"), logits(grams(w)).alias("z")))
+        topped = F.transform(scored, lambda s: F.struct(s["w"].alias("w"), s["z"].alias("z"), F.array_max(s["z"]).alias("top")))
+        guessed = F.transform(
+            topped,
+            lambda s: F.struct(
+                s["w"].alias("w"),
+                F.get(names, (F.array_position(s["z"], s["top"]) - 1).cast("int")).alias("family"),
+                F.round(1 / F.aggregate(s["z"], F.lit(0.0), lambda t, v: t + F.exp((v - s["top"]) / model.temperature)), 4).alias("probability"),
+                probability(s["z"], F.get(s["z"], len(model.classes) - 1)).alias("unknown"),
+            ),
+        )
+        found = F.filter(guessed, lambda s: (s["family"] != UNKNOWN) | (s["unknown"] < DOUBT))
+        alone = F.transform(found, lambda s: F.struct(s["w"].alias("w"), s["family"].alias("family"), s["probability"].alias("probability"), F.round(similarity(s["w"], s["family"]), 4).alias("similarity")))
+        among = F.transform(alone, lambda s: F.struct(s.alias("s"), F.when((s["similarity"] >= SHARE) & (s["probability"] >= LEAST), F.slice(F.array(_found(s)), 1, 0)).otherwise(around(s, lines, at)).alias("more")))
+        settled = F.transform(among, lambda x: F.coalesce(F.get(x["more"], F.lit(0)), _found(x["s"])))
+        kept = F.filter(settled, lambda c: (c["family"] != UNKNOWN) & (c["probability"] >= LEAST))
+        return F.transform(kept, lambda c: F.struct(at.cast("long").alias("paragraph"), c["family"].alias("family"), c["probability"].alias("probability"), c["similarity"].alias("similarity")))
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    hits = lines.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.inline(compared))
+    # the lines stay in their row, so that each can see its neighbours without a copy of the text
+    each = F.transform(F.array(F.split("text", "\n")), lambda lines: F.flatten(F.transform(lines, lambda line, at: findings(line, lines, at))))
+    hits = rows.select("doc_id", F.inline(F.flatten(each)))
     return hits.select("*", (F.col("similarity") >= SHARE).alias("confirmed"))
 
 
+def _found(s):
+    return F.struct(s["family"].alias("family"), s["probability"].alias("probability"), s["similarity"].alias("similarity"))
+
+
 def predict(text: str, model: Model | None = None) -> tuple[str, float]:
     """Class and probability of one paragraph, on the driver (for tests)."""
     model = model or train()

@@ -380,6 +380,25 @@ def test_licence_scan_equals_the_model(spark, sf_dir):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_wrapped_notices_are_confirmed(spark):
+    import textwrap
+
+    docs, family = [], {}
+    for f, notices in licences.NOTICES.items():
+        for t in notices:
+            for width, sign in ((76, ""), (60, " * "), (45, "# "), (30, "// ")):
+                lines = textwrap.wrap(t, width)
+                if len(lines) > 1:
+                    family[len(docs)] = f
+                    docs.append((len(docs), "\n".join(["Some words before", sign.rstrip(), *(sign + x for x in lines), sign.rstrip(), "and words after"])))
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software'
+    docs.append((1000, "\n\n".join(mit.split("\n"))))  # blank lines between: three paragraphs
+    docs.append((1001, "Released under the MIT License.\nPermission is given to copy this software"))  # the neighbour's notice isn't this line's
+    got = licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.family for r in got if r.confirmed and r.doc_id < 1000} == family
+    assert not any(r.confirmed for r in got if r.doc_id == 1000) and [r.paragraph for r in got if r.doc_id == 1001 and r.confirmed] == [0]
+
+
 def test_licence_scan_of_odd_rows(spark):
     assert licences.scan(frame(spark, ODD)).count() == 0 and licences.scan(frame(spark, [])).count() == 0
 
