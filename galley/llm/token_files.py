@@ -18,6 +18,7 @@ empty table makes no file and gives an empty table.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -63,10 +64,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # as the library does, texts are cut at added tokens before they are split into pieces
+        self.added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        longest = sorted(self.added, key=lambda t: (-len(t), t))
+        self.cut = re.compile(b"(" + (b"|".join(map(re.escape, longest)) or b"(?!)") + b")")
         (self.line_feed,) = self._ids(["\n"])[0]
         self.cache = PieceCache(self.encode_pieces)
 
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and the number of ids of each."""
+        cut = [self.cut.split(t) for t in texts]  # every second part is an added token
+        parts = [p for c in cut for p in c[::2]]
+        ids, counts = self.cache.texts(parts)
+        if len(parts) == len(texts):
+            return ids, counts
+        end, k, out, n = np.cumsum(counts), 0, [], np.zeros(len(texts), np.int64)
+        for i, c in enumerate(cut):
+            for j, p in enumerate(c):
+                if j % 2:
+                    out.append(np.array([self.added[p]], np.uint32))
+                else:
+                    out.append(ids[end[k] - counts[k] : end[k]])
+                    k += 1
+                n[i] += len(out[-1])
+        return np.concatenate(out), n
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -243,7 +265,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Tok
         name = f"{folder}/{uuid.uuid4().hex}.ids.zst"
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            for doc_id, coded in zip(ids, binaries(*coder.cache.texts(common.as_bytes(b.column("text")))), strict=True):
+            for doc_id, coded in zip(ids, binaries(*coder.texts(common.as_bytes(b.column("text")))), strict=True):
                 writer = writer or Writer(name)
                 writer.add(doc_id, coded + end)
                 tokens += len(coded) // 4 + 1

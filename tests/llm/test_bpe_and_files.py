@@ -92,6 +92,15 @@ def test_files_round_trip(spark, tmp_path):
     assert token_files.write(documents(spark, [])).documents().count() == 0
 
 
+def test_added_tokens_are_recognised(spark):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert 50256 in library.encode("a<|endoftext|>b", add_special_tokens=False).ids
+    some = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|", "", *texts(200, 5)]
+    files = token_files.write(documents(spark, [(i, t, 1) for i, t in enumerate(some)]))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in files.documents().collect()}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(some)}
+
+
 def test_query_equals_the_library(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
