@@ -9,7 +9,8 @@ O(n log n) steps, however long it is. All pieces that a batch meets for the firs
 share one queue, so that a bucket holds many positions and numpy merges it at once.
 
 A null text is empty: no ids. Repeated rows and null doc_ids are kept, other columns
-ignored, and an empty table gives an empty table.
+ignored, and an empty table gives an empty table. A long text is encoded in parts; one long
+piece (a run without a place to split) takes some fifty bytes of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+#: Pairs whose ranks are looked up at once.
+STEP = 1 << 20
+
+
 class RankQueue:
     """Left positions of pairs in a bucket for each merge rank."""
 
@@ -112,10 +117,12 @@ class Codec:
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the tokens that pairs of ids make, or -1."""
-        keys = left << 20 | right
         known, ranks = self.pairs
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, ranks[at], -1)
+        if len(left) <= STEP:
+            keys = left.astype(np.int64, copy=False) << 20 | right
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            return np.where(known[at] == keys, ranks[at], -1)
+        return np.concatenate([self.pair_rank(left[a : a + STEP], right[a : a + STEP]) for a in range(0, len(left), STEP)])
 
     def merge(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and how many of each, by one queue for all.
@@ -129,11 +136,12 @@ class Codec:
         data = np.frombuffer(b"".join(parts), np.uint8)
         n, lengths = len(data), np.array([len(p) for p in parts])
         end = np.cumsum(lengths)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        kind = np.int64 if n < 4 * STEP else np.int32  # narrow numbers take half the memory and more time
+        after, before = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
         after[end - 1] = before[end - lengths] = -1
-        ids = self.byte_id[data]
-        now = np.full(n, -1)  # the rank of the pair that starts here
-        at = np.flatnonzero(after >= 0)
+        ids = self.byte_id[data].astype(kind)
+        now = np.full(n, -1, kind)  # the rank of the pair that starts here
+        at = np.flatnonzero(after >= 0).astype(kind)
         now[at] = self.pair_rank(ids[at], ids[after[at]])
         queue = RankQueue()
         queue.push(now[at], at)

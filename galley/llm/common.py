@@ -7,7 +7,10 @@ single space after every text, so no word can span two texts.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -45,10 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only a session without one (a test) gets its own."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where it is unset a session in one process (a test) gets a folder of its own; a
+    cluster raises, since its machines share no local folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file:///tmp/checkpoints/galley"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='galley-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -156,14 +165,8 @@ class Words:
         return out.tobytes(), end - size, end
 
     def hashes(self, seed: int, fold: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (a polynomial over mixed bytes, mixed again)."""
-        values = byte_values(seed)
-        if fold is not None:
-            values = values[fold]
-        power, inverse = powers(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(values[self.data] * power[: len(self.data)], out=total[1:])
-        return mixed((total[self.end] - total[self.start]) * inverse[self.start])
+        """A 64-bit hash of each word's bytes."""
+        return span_hashes(loads(self.data if fold is None else fold[self.data]), self.start, self.end, seed)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -175,27 +178,47 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_values: dict[int, np.ndarray] = {}
+def loads(data: np.ndarray) -> np.ndarray:
+    """At each place of a byte array the eight bytes from there on, as one number; zeros follow the array."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
 
 
-def byte_values(seed: int) -> np.ndarray:
-    if seed not in _values:
-        _values[seed] = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 1) + np.uint64(seed)) | np.uint64(1)
-    return _values[seed]
+#: Keeps the first 0 .. 8 bytes of a number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Spans up to so many bytes are hashed and compared by numpy, eight bytes at a time; longer ones one by one.
+SHORT = 64
 
 
-_powers: list[np.ndarray] = []
+def span_hashes(eights: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; eights: as ``loads`` gives them.
 
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK)
-        _powers[:] = [
-            np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
-            for base in (_ODD, pow(_ODD, -1, 1 << 64))
-        ]
-    return _powers[0], _powers[1]
+    It spreads words well but isn't proof against chosen ones: whoever needs equal bytes compares them.
+    """
+    size = end - start
+    h = mixed((eights[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * _MUL + np.uint64(seed))
+    live, at = np.flatnonzero((size > 8) & (size <= SHORT)), 8
+    while len(live):
+        left = size[live] - at
+        h[live] = mixed(h[live] * np.uint64(_ODD) ^ (eights[start[live] + at] & _FIRST[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    data = None
+    for i in np.flatnonzero(size > SHORT).tolist():
+        data = memoryview(eights.base) if data is None else data
+        h[i] = int.from_bytes(hashlib.blake2b(data[int(start[i]) : int(end[i])], digest_size=8, salt=seed.to_bytes(16, "little")).digest(), "little")
+    return h
+
+
+def spans_equal(eights: np.ndarray, start: np.ndarray, size: np.ndarray, others: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether pairs of spans of at most SHORT bytes hold the same bytes; the second ones: in ``others``."""
+    same = size == sizes
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        left = size[live] - k
+        same[live] = ((eights[start[live] + k] ^ others[at[live] + k]) & _FIRST[np.clip(left, 0, 8)]) == 0
+        live, k = live[(left > 8) & same[live]], k + 8
+    return same
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -102,13 +102,7 @@ class Tokens:
 
 def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each span of bytes."""
-    values = common.byte_values(7)
-    if fold is not None:
-        values = values[fold]
-    power, inverse = common.powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * power[: len(data)], out=total[1:])
-    return common.mixed((total[end] - total[start]) * inverse[start])
+    return common.span_hashes(common.loads(data if fold is None else fold[data]), start, end, 7)
 
 
 def shape(token: str) -> str:

@@ -7,6 +7,7 @@ split by the pattern itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -73,69 +74,111 @@ def ragged(flat: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.arange(total) + np.repeat(offset - (end - size), size)]
 
 
+#: Texts over so many bytes are split in parts, cut before white space after a printable ASCII sign:
+#: there the pattern always ends a piece, whatever follows, and it never looks back.
+PART = 1 << 20
+_CUT = re.compile(rb"[\x21-\x7E](?=[ \n])")
+
+
+def parts_of(text: bytes, most: int = PART) -> list[bytes]:
+    """The text in parts of about ``most`` bytes whose pieces are those of the text; a part without a place to cut is longer."""
+    out, at = [], 0
+    while len(text) - at > most and (cut := _CUT.search(text, at + most)):
+        out.append(text[at : cut.end()])
+        at = cut.end()
+    return [*out, text[at:]] if out else [text]
+
+
 class PieceCache:
     """Encodes texts; a piece goes to the encoder only when it isn't remembered.
 
-    encode: pieces -> (ids of all, number of ids of each). Pieces are told apart by a
-    64-bit hash and their length. When more than ``most`` are remembered, all are forgotten.
+    encode: pieces -> (ids of all, number of ids of each). Pieces are looked up by a 64-bit
+    hash, and their bytes are compared with the remembered ones; those that differ, and pieces
+    over ``common.SHORT`` bytes, are encoded for themselves. When more than ``most`` are
+    remembered, all are forgotten.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
         self.encode, self.most = encode, most
-        self._forget()
-
-    def _forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        #: Of each remembered piece, in order of hash: hash, place and number of its ids, place and number of its bytes.
         self.keys = np.zeros(0, np.uint64)
-        self.offset, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.offset, self.size, self.at, self.length = none, none, none, none
+        self.ids, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.eights = common.loads(self.bytes)
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and the number of ids of each."""
+        cut = [parts_of(t) for t in texts]
+        parts = [p for c in cut for p in c]
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for a, b in common.chunks(texts, 1 << 20):
-            i, n = self._chunk(texts[a:b])
+        for a, b in common.chunks(parts, PART):
+            i, n = self._chunk(parts[a:b])
             ids.append(i)
             counts.append(n)
-        return np.concatenate(ids), np.concatenate(counts)
+        sums = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        last = np.cumsum([0, *map(len, cut)])
+        return np.concatenate(ids), np.diff(sums[last])
 
     def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data, start, first = split(texts)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        stop = np.concatenate([start[1:], [len(data)]])
-        power, inverse = common.powers(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(common.byte_values(3)[data] * power[: len(data)], out=total[1:])
-        h = common.mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+        length = np.diff(start, append=len(data))
+        eights = common.loads(data)
+        entry = np.full(len(start), -1)  # which remembered piece each is
+        brief = np.flatnonzero(length <= common.SHORT)
+        h = common.span_hashes(eights, start[brief], start[brief] + length[brief], 3)
         order = np.argsort(h)
         fresh = np.ones(len(h), bool)
         fresh[1:] = np.diff(h[order]) != 0
-        head = order[fresh]
-        keys = h[head]
+        head = brief[order[fresh]]
+        keys = h[order[fresh]]
         group = np.empty(len(h), np.int64)
         group[order] = np.cumsum(fresh) - 1
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(new):
+        self._remember(data, start[head], length[head], keys)
+        at = np.searchsorted(self.keys, keys)[group]
+        same = common.spans_equal(eights, start[brief], length[brief], self.eights, self.at[at], self.length[at])
+        entry[brief[same]] = at[same]
+        alone = np.flatnonzero(entry < 0)
+        if not len(alone):
+            offset, size, ids = self.offset[entry], self.size[entry], self.ids
+        else:
             raw = data.tobytes()
-            ids, size = self.encode([raw[a:b] for a, b in zip(start[head[new]].tolist(), stop[head[new]].tolist(), strict=True)])
-            if len(self.keys) > self.most:
-                # what this chunk needs stays
-                old = np.setdiff1d(np.arange(len(keys)), new)
-                kept = at[old]
-                self.ids = ragged(self.ids, self.offset[kept], self.size[kept])
-                self.size, self.keys = self.size[kept], self.keys[kept]
-                self.offset = np.cumsum(self.size) - self.size
-            offset = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, ids])
-            place = np.searchsorted(self.keys, keys[new])
-            self.keys = np.insert(self.keys, place, keys[new])
-            self.offset = np.insert(self.offset, place, offset)
-            self.size = np.insert(self.size, place, size)
-            at = np.searchsorted(self.keys, keys)
-        size = self.size[at][group]
+            number: dict[bytes, int] = {}
+            own = np.array([number.setdefault(raw[a : a + n], len(number)) for a, n in zip(start[alone].tolist(), length[alone].tolist(), strict=True)])
+            more, count = self.encode(list(number))
+            place = len(self.ids) + np.cumsum(count) - count
+            offset, size = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+            held = entry >= 0
+            offset[held], size[held] = self.offset[entry[held]], self.size[entry[held]]
+            offset[alone], size[alone] = place[own], count[own]
+            ids = np.concatenate([self.ids, more])
         sums = np.concatenate([[0], np.cumsum(size)])
-        return ragged(self.ids, self.offset[at][group], size), sums[first[1:]] - sums[first[:-1]]
+        return ragged(ids, offset, size), sums[first[1:]] - sums[first[:-1]]
+
+    def _remember(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, keys: np.ndarray) -> None:
+        """Encodes the pieces of which no hash is remembered. keys: the pieces' hashes, distinct and sorted."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if not len(new):
+            return
+        raw = data.tobytes()
+        ids, size = self.encode([raw[a : a + n] for a, n in zip(start[new].tolist(), length[new].tolist(), strict=True)])
+        if len(self.keys) > self.most:
+            # what this chunk needs stays
+            kept = at[np.setdiff1d(np.arange(len(keys)), new)]
+            self.ids, self.bytes = ragged(self.ids, self.offset[kept], self.size[kept]), ragged(self.bytes, self.at[kept], self.length[kept])
+            self.size, self.length, self.keys = self.size[kept], self.length[kept], self.keys[kept]
+            self.offset, self.at = np.cumsum(self.size) - self.size, np.cumsum(self.length) - self.length
+        place = np.searchsorted(self.keys, keys[new])
+        own = length[new]
+        self.offset = np.insert(self.offset, place, len(self.ids) + np.cumsum(size) - size)
+        self.at = np.insert(self.at, place, len(self.bytes) + np.cumsum(own) - own)
+        self.size, self.length = np.insert(self.size, place, size), np.insert(self.length, place, own)
+        self.keys = np.insert(self.keys, place, keys[new])
+        self.ids, self.bytes = np.concatenate([self.ids, ids]), np.concatenate([self.bytes, ragged(data, start[new], own)])
+        self.eights = common.loads(self.bytes)
 
 
 def binaries(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
