@@ -11,8 +11,9 @@ One file holds the ids of a range of documents, in ascending doc_id order:
 A reader loads the table, and then seeks to and inflates the frames that it wants only.
 
 A null text is empty and holds the end id alone. Null doc_ids sort first and come back
-null; repeated rows are kept, each with its own frame. Extra columns are ignored. An
-empty table makes no file and gives an empty table.
+null; repeated rows are kept, each with its own frame; rows with one doc_id are in order of a
+hash of their text. Extra columns are ignored. An empty table makes no file and gives an empty
+table. ``write`` runs jobs and makes files when it is called, not when its result is read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import public_tokenizers
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ VERSION = 1
 #: Stands for a null doc_id in a file.
 NULL_ID = -(1 << 63)
 END_ID = 0
+#: Bytes of text in one file, at least where there are many.
+TEXT_BYTES = 64 << 20
 
 
 class BadFile(ValueError):
@@ -201,14 +205,15 @@ class Reader:
 
 @dataclass
 class TokenFiles:
-    """The files that one ``write`` made. manifest: file, first_id, n_docs, n_tokens of each."""
+    """The files that one ``write`` made. manifest: file, part (its place among them), first_id, last_id, n_docs, n_tokens of each."""
 
     spark: SparkSession
     manifest: DataFrame
 
     def documents(self) -> DataFrame:
         """doc_id, start, ids (binary) of every document, read from the files, one task for each file."""
-        bases = self.manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("first_id", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        # a row for each file: some thousands a terabyte
+        bases = self.manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +241,7 @@ class TokenFiles:
         if not doc_ids:
             return out
         held = self.manifest.where((F.col("first_id") <= max(doc_ids)) & (F.col("last_id") >= min(doc_ids)))
-        for row in held.orderBy("first_id").collect():
+        for row in held.orderBy("part").collect():
             wanted = [d for d in out if row.first_id <= d <= row.last_id]
             if wanted:
                 reader = Reader(row.file)
@@ -246,22 +251,24 @@ class TokenFiles:
         return out
 
 
-def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> TokenFiles:
+def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, text_bytes: int = TEXT_BYTES) -> TokenFiles:
     """Encodes texts with a tokenizers file and writes them in ascending doc_id order.
 
-    The documents are dealt out by ranges of doc_id, as many as the session has shuffle
-    partitions, and each range becomes a file. An attempt that is lost leaves a file that
+    The documents are dealt out by ranges of doc_id, and each range becomes a file: one for
+    about ``text_bytes`` of text, and as many as the session has shuffle partitions at least.
+    Rows with one doc_id may lie in several files. An attempt that is lost leaves a file that
     no manifest names.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     folder = common.new_path(spark, "tokens")
-    schema = pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+    names = ("part", "first_id", "last_id", "n_docs", "n_tokens")
+    schema = pa.schema([("file", pa.string()), *((n, pa.int64()) for n in names)])
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, writer, tokens = encoder(path), None, 0
+        coder, writer, tokens, part = encoder(path), None, 0, TaskContext.get().partitionId()
         name = f"{folder}/{uuid.uuid4().hex}.ids.zst"
         for b in batches:
             ids = b.column("doc_id").to_pylist()
@@ -271,12 +278,15 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Tok
                 tokens += len(coded) // 4 + 1
         if writer:
             writer.close()
-            yield common.batch(schema, [[name], [writer.ids[0]], [writer.ids[-1]], [len(writer.ids)], [tokens]])
+            yield common.batch(schema, [[name], [part], [writer.ids[0]], [writer.ids[-1]], [len(writer.ids)], [tokens]])
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    manifest = common.stored(ordered.mapInArrow(run, "file string, first_id long, last_id long, n_docs long, n_tokens long"), "token-manifest")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // text_bytes))
+    # a doc_id may be that of a third of all rows, and so may a text under it
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order, F.rand(1)).sortWithinPartitions(*order)
+    manifest = common.stored(ordered.mapInArrow(run, "file string, " + ", ".join(f"{x} long" for x in names)), "token-manifest")
     return TokenFiles(spark, manifest)
 
 

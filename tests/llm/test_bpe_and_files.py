@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from galley.llm import bpe, pretokens, token_files
+from galley.llm import bpe, common, pretokens, token_files
 
 SIGNS = ["a", "b", " ", "\n", "é", "日", "'s", "😀", "aa", "the", "1", "  ", "\x85", "-", "\t", "×", "٣", "\x1c", "\xa0", "ɐ", "!", "<|endoftext|>", "x", " ", "ü"]
 
@@ -55,6 +55,39 @@ def test_a_very_long_piece(codec, reference):
         assert codec.encode(piece) == reference.encode_ordinary(piece)
 
 
+def thue_morse(steps, a, b):
+    """Two texts with equal polynomial hashes modulo 2^64, whatever the odd base."""
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+TWINS = [t for n in (3, 5, 10, 11, 12) for pair in (("a", "b"), ("é", "ü")) for t in thue_morse(n, *pair)]
+
+
+def test_texts_with_equal_hashes(codec, reference, monkeypatch):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    some = [*TWINS, *texts(300, 3), "word don't  \n x. " * 80_000, "x" * 70 + " " + "x" * 71]
+    plain = common.span_hashes
+    for fewer in (None, 500, 1):  # then with few different hashes
+        if fewer:
+            monkeypatch.setattr(common, "span_hashes", lambda e, a, b, seed: plain(e, a, b, seed) % np.uint64(fewer))  # noqa: B023
+        ids, counts = pretokens.PieceCache(codec.encode_pieces).texts([t.encode() for t in some])
+        assert pretokens.binaries(ids, counts) == [np.array(reference.encode_ordinary(t), "<u4").tobytes() for t in some]
+        ids, counts = token_files.Encoder(P.path("byte_bpe_50k.json")).texts([t.encode() for t in some])
+        assert pretokens.binaries(ids, counts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+
+
+def test_parts_of_long_texts():
+    r = random.Random(7)
+    for text in texts(400, 8):
+        many = text * r.randint(1, 30)
+        parts = pretokens.parts_of(many.encode(), 16)
+        assert b"".join(parts) == many.encode()
+        assert [x for p in parts for x in pretokens.pieces(p.decode())] == pretokens.pieces(many)
+    assert len(pretokens.parts_of(b"one two " * 100, 16)) > 30
+
+
 def test_queue_order():
     q = bpe.RankQueue()
     q.push(np.array([70_000, 5, -1, 5, 64]), np.array([1, 9, 2, 3, 4]))
@@ -79,7 +112,6 @@ def test_encode_and_decode_frames(spark):
 def test_files_round_trip(spark, tmp_path):
     files = token_files.write(documents(spark, ROWS))
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     got = files.documents().collect()
     expected = sorted(([*library.encode(t or "", add_special_tokens=False).ids, 0] for _, t, _ in ROWS), key=str)
     assert sorted((np.frombuffer(r.ids, "<u4").tolist() for r in got), key=str) == expected
@@ -104,7 +136,6 @@ def test_added_tokens_are_recognised(spark):
 def test_query_equals_the_library(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     start, expected = 0, {}
     for d in sorted(docs):
         ids = [*library.encode(docs[d], add_special_tokens=False).ids, 0]
@@ -123,6 +154,20 @@ def test_op10_equals_the_library(spark, sf_dir, reference):
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
 
 
+def test_equal_doc_ids_have_one_order(spark):
+    rows = [(5, f"text {i % 7}", 0) for i in range(60)] + [(None, "same", 0)] * 30 + [(d, "same", 0) for d in range(9)]
+    expected = None
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        files = token_files.write(documents(spark, rows).repartition(3), text_bytes=40)
+        assert files.manifest.count() > 1
+        got = sorted((r.start, -1 if r.doc_id is None else r.doc_id, bytes(r.ids)) for r in files.documents().collect())
+        assert [d for _, d, _ in got] == sorted(d for _, d, _ in got) and [s for s, _, _ in got] == np.cumsum([0, *(len(x) // 4 for _, _, x in got)])[:-1].tolist()
+        assert expected in (None, got)
+        expected = got
+        assert len(files.lookup([5])[5]) == 61
+
+
 def test_damage_is_found(tmp_path):
     path = str(tmp_path / "f.zst")
     w = token_files.Writer(path)
