@@ -211,9 +211,12 @@ def span_hashes(eights: np.ndarray, start: np.ndarray, end: np.ndarray, seed: in
 
 
 def spans_equal(eights: np.ndarray, start: np.ndarray, size: np.ndarray, others: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether pairs of spans of at most SHORT bytes hold the same bytes; the second ones: in ``others``."""
+    """Whether pairs of spans hold the same bytes; the second ones: in ``others``."""
     same = size == sizes
-    live, k = np.flatnonzero(same), 0
+    for i in np.flatnonzero(same & (size > 16 * SHORT)).tolist():
+        one, other = memoryview(eights.base)[int(start[i]) :], memoryview(others.base)[int(at[i]) :]
+        same[i] = one[: int(size[i])] == other[: int(size[i])]
+    live, k = np.flatnonzero(same & (size <= 16 * SHORT)), 0
     while len(live):
         left = size[live] - k
         same[live] = ((eights[start[live] + k] ^ others[at[live] + k]) & _FIRST[np.clip(left, 0, 8)]) == 0

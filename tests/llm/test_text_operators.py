@@ -11,6 +11,8 @@ import xxhash
 import corpus_pipeline
 from galley.llm import common, components, crf, decontaminate, licences, media, pages, pii, quality, simhash, substrings
 
+from .test_bpe_and_files import thue_morse
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int"
 ODD = [(1, None, "en", "s", 0, 1), (2, "", "en", "s", 0, 1), (3, "\n \t", None, None, 3, 1), (4, "one", "en", "s", 3, 1), (4, "one", "en", "s", 3, 1), (None, "two words", "en", "s", 9, None), (5, "word " * 40_000, "en", "s", 200_000, 1)]
 
@@ -164,6 +166,8 @@ def test_index_in_batches_equals_one_batch(spark):
     r = random.Random(8)
     passages = [" ".join(r.choice("abcde") for _ in range(20)) for _ in range(6)]
     docs = [(d, " ".join(r.choice([*passages, "x y", f"w{d}"]) for _ in range(r.randint(0, 6)))) for d in range(90)]
+    split = substrings.removed(spark.createDataFrame(docs, "doc_id long, text string"), batch_bytes=2000)
+    assert {x.doc_id: (x.n_words, x.n_removed, x.text) for x in split.collect()} == brute_removed(docs)
     whole = {x.doc_id: (x.n_words, x.n_removed, x.text) for x in substrings.FingerprintIndex(spark).ingest(spark.createDataFrame(docs, "doc_id long, text string"), keep=False).collect()}
     assert whole == brute_removed(docs)
     index, got = substrings.FingerprintIndex(spark, bits=5), {}
@@ -180,14 +184,75 @@ def test_index_in_batches_equals_one_batch(spark):
 def test_runs_pack_and_merge():
     r = np.random.default_rng(1)
     for n in (1, 5, 3000):
-        h = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
-        c = (r.integers(0, 2**16, len(h))).astype(np.uint64)
-        back = substrings.unpack(substrings.pack(h, c), len(h))
-        assert (back[0] == h).all() and (back[1] == c).all()
+        h = np.unique(r.integers(0, 2**56, n, dtype=np.uint64))
+        assert (substrings.unpack(substrings.pack(h), len(h)) == h).all()
     a, b = np.array([1, 5, 9], np.uint64), np.array([5, 9, 11], np.uint64)
-    one, other = np.array([7, 7, 7]), np.array([7, 8, 7])
-    seen = substrings.merge_runs([(4, 3, substrings.pack(b, other)), (2, 3, substrings.pack(a, one))])
-    assert [(n, s.tolist()) for n, _, s in seen] == [(2, [False] * 3), (4, [True, False, False])]  # 9 has another check
+    assert [x.tolist() for x in substrings.shared_hashes([(3, substrings.pack(b)), (3, substrings.pack(a))])] == [[True, True, False], [False, True, True]]
+    digest = lambda *xs: b"".join(hashlib.blake2b(str(x).encode(), digest_size=16).digest() for x in xs)
+    none = bytes(2)
+    seen = substrings.earlier_entries([(4, 3, digest(5, "other", 11), none, 8, 9), (2, 3, digest(1, 5, 9), none, 1, 2), (-1, 1, digest(11), b"", 0, 0)])
+    assert [x.tolist() for x in seen] == [[True, False, True], [False] * 3, [False]]
+    # runs that meet in one doc_id: its documents aren't earlier than one another
+    low, high = np.packbits([True, True]).tobytes(), np.packbits([False, True]).tobytes()
+    seen = substrings.earlier_entries([(0, 2, digest("a", "b"), none[:1] + high, 1, 7), (1, 2, digest("a", "b"), low + none[:1], 7, 9)])
+    assert [x.tolist() for x in seen] == [[False, False], [True, False]]
+    n, hashes, digests = substrings.merge_sorted([(2, substrings.pack(a[:2]), digest(1, 5)), (3, substrings.pack(a), digest(1, "x", 9))])
+    assert n == 4 and substrings.unpack(hashes, n).tolist() == [1, 5, 5, 9] and len(digests) == 64
+
+
+def test_windows_with_equal_hashes_differ(spark, monkeypatch):
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = [(2 * i + j, f"{word}  {rest}") for i, pair in enumerate([*(thue_morse(n, "a", "b") for n in (10, 11, 12)), thue_morse(11, "é", "ü")]) for j, word in enumerate(pair)]
+    docs += [(d + 100, t) for d, t in docs[:3]]
+    got = {x.doc_id: (x.n_words, x.n_removed, x.text) for x in substrings.removed(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_removed(docs) and got[1][1] == 0 and got[101][1] == 13
+    # few different hashes: inside a run and between runs
+    r = random.Random(5)
+    some = [" ".join(r.choice("abcd") for _ in range(16)) for _ in range(12)]
+    many = [(d, " ".join(r.choice(some) for _ in range(r.randint(0, 4)))) for d in range(60)]
+    expected = brute_removed(many)
+    kept = []
+    for d in range(0, 60, 10):
+        kept.append(substrings.Windows(list(range(d, d + 10)), [t.encode() for _, t in many[d : d + 10]], 13))
+    for w in kept:
+        w.group %= 3  # as if all windows had three hashes
+        w.lead = np.array([np.flatnonzero(w.group == g)[0] for g in range(3)])
+        w.hashes = np.arange(3, dtype=np.uint64)
+        w.verify(b"")
+    runs = [(n, len(w.of), w.digests(w.chosen(0, 3)), w.edges(w.chosen(0, 3)), int(w.keys[0]), int(w.keys[-1])) for n, w in enumerate(kept)]
+    for w, seen in zip(kept, substrings.earlier_entries(runs), strict=True):
+        earlier = np.zeros(len(w.of), bool)
+        earlier[w.chosen(0, 3)] = seen
+        for d, n, gone, text in w.kept_texts(w.covered(earlier)):
+            assert (n, gone, text.decode()) == expected[d]
+
+
+def test_one_doc_id_fills_several_runs(spark):
+    r = random.Random(3)
+    some = [" ".join(r.choice("abcdefgh") for _ in range(20)) for _ in range(9)]
+    rows = [(r.choice([None, None, 5, 5, 5, 6, 7]), r.choice(some)) for _ in range(300)]
+    index = substrings.FingerprintIndex(spark, run_bytes=400)
+    got = index.ingest(spark.createDataFrame(rows, "doc_id long, text string"), keep=False)
+    key = lambda d: -1 if d is None else d
+    first = {}
+    for d, t in rows:
+        for w in windows_of(t):
+            first[w] = min(first.get(w, 99), key(d))
+    expected = sorted((key(d), sum(len(x) for x in spans_of([first[w] < key(d) for w in windows_of(t)]))) for d, t in rows)
+    assert sorted((key(x.doc_id), x.n_removed) for x in got.collect()) == expected
+    assert got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].count("ReusedExchange") == 2  # the texts are shuffled once
+    cuts = substrings.cuts_by_bytes(substrings._plain(spark.createDataFrame([(1, "x" * 9000), *[(d, "x") for d in range(2, 200)]], "doc_id long, text string")), 10, 46.0)
+    assert cuts[:4] == [1] * 4
+
+
+def windows_of(text):
+    w = text.split()
+    return [tuple(w[i : i + 13]) for i in range(len(w) - 12)]
+
+
+def spans_of(starts):
+    """The words that windows from these starts cover, as one set."""
+    return [{j for i, s in enumerate(starts) if s for j in range(i, i + 13)}]
 
 
 def test_every_partition_gets_one_run(spark):
