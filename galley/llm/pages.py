@@ -8,11 +8,12 @@ headings and sections only if the whole name is of such a part. Captions, formul
 labels of drawings are text; what stands in for scripts or objects is not. Every paragraph earns points for its length and its commas and passes them on, whole
 to its parent, a half to the next ancestor, then a third and so on; an ancestor's
 points are discounted by the share of its text that lies in links. The best container is
-kept with those of its siblings that score enough or are prose; what is kept gives the text
-of its blocks in page order.
+kept with its siblings, unless they are menus or a page's header, and on the way up with
+what scores enough or is prose; what is kept gives the text of its blocks in page order.
 
 A null or empty page gives an empty text, as does one without any text. Pages that nest
-deeply, or are very long, work: nothing recurses and no text is cut. Repeated rows and null
+deeply, are very long or never close their tags take time in proportion to their length:
+nothing recurses and no text is cut. Repeated rows and null
 ids are kept, other columns ignored, and an empty table gives an empty table.
 """
 
@@ -27,7 +28,9 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: Where markup begins: a comment, a declaration, or a tag with its name. And what follows a name up to the tag's end.
+_OPENED = re.compile(r"<(?:!--|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile("[a-z]+|[0-9]+")
 
@@ -60,25 +63,30 @@ _UNSURE = frozenset(
 _BOXES = frozenset("section area box list block wrapper container posts articles links form buttons bar".split())
 _HAVING = frozenset("has with without no".split())
 _ARTICLES = ("article", "main")
+#: Words that name a page's header, where no word of an article stands beside them.
+_HEADERS = frozenset("header topbar logo branding".split())
+#: Elements that are part of the text where they stand beside the article's container, however short.
+_FLOW = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 hgroup ul ol dl table figure section details".split())
 #: Parts that are kept whatever their other names say.
 _CONTENT = frozenset("article main content body post entry story text prose".split())
 
-#: A sibling is kept from this share of the best score on, or as prose of so many characters with few links.
-SIBLING_SHARE, SIBLING_PROSE = 0.2, 80
+#: Text with at least this share in links is a menu where it stands beside the container. Farther out a sibling
+#: is kept from this share of the best score on, or as prose of so many characters with few links.
+MENU, SIBLING_SHARE, SIBLING_PROSE = 0.5, 0.2, 80
 
 
-def _beside(name: str, attributes: str, inside: bool) -> tuple[bool, int]:
-    """Whether the element is hidden, and how surely its names are of a part beside the article: 0, 1 or 2. inside: it lies in an article."""
+def _beside(name: str, attributes: str, inside: bool) -> tuple[bool, int, bool]:
+    """Whether the element is hidden, how surely its names are of a part beside the article (0, 1 or 2), and whether they are of a page's header. inside: it lies in an article."""
     words: set[str] = set()
     parts: list[set[str]] = []
     titled = name in _HEADINGS or name == "section"
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" and m.start() and attributes[m.start() - 1].isspace() or key == "aria-hidden" and value == "true":
-            return True, 0
+            return True, 0, False
         if key == "style":
             if "display:none" in value.replace(" ", ""):
-                return True, 0
+                return True, 0, False
         elif key != "hidden":
             for one in value.split():
                 own = set(_WORD.findall(one))
@@ -89,17 +97,54 @@ def _beside(name: str, attributes: str, inside: bool) -> tuple[bool, int]:
                 if key != "id" or name not in _HEADINGS:  # a heading's id is its own words
                     parts.append(own)
     if inside and titled:
-        return False, 2 * any(own <= _BESIDE | _BOXES and own & (_BESIDE - _UNSURE) for own in parts)
+        return False, 2 * any(own <= _BESIDE | _BOXES and own & (_BESIDE - _UNSURE) for own in parts), False
     if not words & _BESIDE or words & _CONTENT and not words & {"comment", "comments", "ad", "ads", "sidebar", "nav", "menu", "footer", "related", "newsletter", "share"}:
-        return False, 0
-    return False, 1 + bool(words & (_BESIDE - _UNSURE))
+        return False, 0, bool(words & _HEADERS) and not words & _CONTENT
+    return False, 1 + bool(words & (_BESIDE - _UNSURE)), False
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """What stands in a page, in one pass: the bounds of a text, then the tag after it (whether it closes, its name, its attributes; "" for none).
+
+    The contents of raw elements are passed over. A tag ends at the first > outside quotes;
+    once a quote has no end, at the first > from there on. A < without any > after it is text.
+    """
+    at, seek, quotes, last, endless = 0, 0, True, page.rfind(">"), set()
+    while m := _OPENED.search(page, seek):
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            yield at, m.start(), False, "", ""
+            at = seek = len(page) if end < 0 else end + 3
+            continue
+        if m.end() > last:
+            break
+        if m[1]:
+            yield at, m.start(), False, "", ""
+            at = seek = page.find(">", m.end()) + 1
+            continue
+        inside = _INSIDE.match(page, m.end()) if quotes else None
+        quotes = bool(inside)
+        end = inside.end() if inside else page.find(">", m.end()) + 1
+        name, attributes = m[3].lower(), page[m.end() : end - 1]
+        yield at, m.start(), bool(m[2]), name, attributes
+        at = seek = end
+        if name in _RAW and not m[2] and not attributes.rstrip().endswith("/"):
+            to = None if name in endless else re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            end = page.find(">", to.end()) + 1 if to else 0
+            if end:
+                at = seek = end
+            elif name in ("script", "style", "textarea", "title", "xmp"):
+                at = seek = len(page)
+            else:
+                endless.add(name)
+    yield at, len(page), False, "", ""
 
 
 class Tree:
-    """Nodes in document order: parent, name, whether gone for good, how surely named as a part beside the article, and whether dropped; and texts: node, block number, text."""
+    """Nodes in document order: parent, name, whether gone for good, how surely named as a part beside the article, whether named as a page's header, and whether dropped; and texts: node, block number, text."""
 
     def __init__(self, page: str):
-        self.parent, self.name, self.gone, self.named, self.dropped = [-1], ["#"], [False], [0], [False]
+        self.parent, self.name, self.gone, self.named, self.head, self.dropped = [-1], ["#"], [False], [0], [False], [False]
         self.texts: list[tuple[int, int, str]] = []
         self._parse(page)
         self.settle(frozenset())
@@ -143,43 +188,42 @@ class Tree:
 
     def _parse(self, page: str) -> None:
         parent, names, gone_for_good, named, texts = self.parent, self.name, self.gone, self.named, self.texts
-        stack, block, at = [0], 0, 0
+        stack, block = [0], 0
+        #: Depths in the stack of each name, and of blocks, and of blocks but paragraphs; each list ascends.
+        depths: dict[str, list[int]] = {}
+        blocks, boxes = [0], [0]
 
         def close(to: int) -> None:
             """Pops the stack down to this depth."""
-            del stack[to:]
-
-        def find(group: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> int:
-            for depth in range(len(stack) - 1, 0, -1):
-                if names[stack[depth]] in group:
-                    return depth
-                if names[stack[depth]] in stops:
-                    break
-            return 0
-
-        search = _TAG.search
-        while m := search(page, at):
-            if m.start() > at and not gone_for_good[stack[-1]]:
-                texts.append((stack[-1], block, page[at : m.start()]))
-            at = m.end()
-            if not m[2]:
+            while len(stack) > to:
+                name = names[stack.pop()]
+                depths[name].pop()
+                if name in _BLOCKS:
+                    blocks.pop()
+                    if name != "p":
+                        boxes.pop()
+
+        def deepest(some) -> int:
+            """The depth of the innermost open element with one of these names; 0: none is open."""
+            return max((depths[n][-1] for n in some if depths.get(n)), default=0)
+
+        for at, end, closing, name, attributes in _tags(page):
+            if end > at and not gone_for_good[stack[-1]]:
+                texts.append((stack[-1], block, page[at:end]))
+            if not name:
                 continue
-            name = m[2].lower()
-            if m[1]:
+            if closing:
+                depth = deepest((name,))
                 if name in _BLOCKS:
                     block += 1
-                    depth = find({name}, frozenset())
                     if depth:
                         close(depth)
                 elif name == "br":
                     texts.append((stack[-1], block, " "))
-                elif depth := find({name}, _BLOCKS):
+                elif depth > blocks[-1]:
                     close(depth)
                 continue
             if name in _RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if not m[3].rstrip().endswith("/"):
-                    at = end.end() if end else (len(page) if name in ("script", "style", "textarea", "title", "xmp") else at)
                 if name not in ("script", "style"):
                     texts.append((stack[-1], block, " "))
                 continue
@@ -191,35 +235,40 @@ class Tree:
                 continue
             if name in _BLOCKS:
                 block += 1
-                depth = find({"p"}, _BLOCKS - {"p"})  # an open paragraph ends here
-                if depth:
+                depth = deepest(("p",))  # an open paragraph ends here
+                if depth > boxes[-1]:
                     close(depth)
                 if name in _HEADINGS and names[stack[-1]] in _HEADINGS:
                     close(len(stack) - 1)
             if name in _CLOSES:
-                depth = find(_CLOSES[name], _LIMITS.get(name, frozenset()))
-                if depth:
+                depth = deepest(_CLOSES[name])
+                if depth > deepest(_LIMITS.get(name, ())):
                     close(depth)
             above = stack[-1]
-            gone, beside = gone_for_good[above], 0
+            gone, beside, head = gone_for_good[above], 0, False
             if not gone:
-                if m[3]:
-                    gone, beside = _beside(name, m[3], find({"article", "main"}, frozenset()) > 0)
+                in_article = bool(depths.get("article") or depths.get("main"))
+                if attributes:
+                    gone, beside, head = _beside(name, attributes, in_article)
                 gone = gone or name in _DROPPED
                 if name == "header":  # the page's; an article's own keeps its headings
-                    gone = gone or find({"article", "main"}, frozenset()) == 0
-                elif find({"header"}, frozenset()) and name not in _HEADINGS and name in _BLOCKS and name not in ("div", "section"):
+                    gone = gone or not in_article
+                elif depths.get("header") and name not in _HEADINGS and name in _BLOCKS and name not in ("div", "section"):
                     gone = True
             parent.append(above)
             names.append(name)
             gone_for_good.append(gone)
             named.append(beside)
+            self.head.append(head)
             if name in ("text", "tspan"):  # labels of a drawing
                 texts.append((len(names) - 1, block, " "))
-            if not m[3].rstrip().endswith("/") or name in _BLOCKS:
+            if not attributes.rstrip().endswith("/") or name in _BLOCKS:
+                depths.setdefault(name, []).append(len(stack))
+                if name in _BLOCKS:
+                    blocks.append(len(stack))
+                    if name != "p":
+                        boxes.append(len(stack))
                 stack.append(len(names) - 1)
-        if at < len(page) and not gone_for_good[stack[-1]]:
-            texts.append((stack[-1], block, page[at:]))
 
     def blocks(self, inside: list[bool]) -> list[str]:
         """The texts of the blocks that lie in nodes marked so."""
@@ -244,18 +293,18 @@ class Tree:
         scored = [False] * n
         for i in range(n):
             scored[i] = self.name[i] in _SCORED and not self.dropped[i]
+        box = list(range(n))  # the nearest element that can be a paragraph
+        for i in range(1, n):
+            if self.name[i] not in _BLOCKS:
+                box[i] = box[self.parent[i]]
         for node, _, text in self.texts:
             length = 0 if text.isspace() else len(text)
             if not length or self.dropped[node]:
                 continue
             count = text.count(",") + text.count("，") + text.count("、")
             size[node] += length
-            # the nearest element that can be a paragraph
-            at = node
-            while at and self.name[at] not in _BLOCKS:
-                at = self.parent[at]
-            direct[at] += length
-            marks[at] += count
+            direct[box[node]] += length
+            marks[box[node]] += count
         in_link = [False] * n
         for i in range(1, n):
             in_link[i] = self.name[i] == "a" or in_link[self.parent[i]]
@@ -281,6 +330,36 @@ class Tree:
         return points, size, linked
 
 
+def _container(tree: Tree, best: int, points: list[float], size: list[int], linked: list[int]) -> set[int]:
+    """The nodes that hold the article: the best container, or the article or main element around it, and what belongs to it on the way up to the page."""
+    n, top = len(points), points[best]
+    children: dict[int, list[int]] = {}
+    for i in range(1, n):
+        if size[i] and not tree.dropped[i]:
+            children.setdefault(tree.parent[i], []).append(i)
+    whole, at = best, best
+    while at > 0:
+        if tree.name[at] in _ARTICLES:
+            whole = at
+            break
+        at = tree.parent[at]
+    chosen, at, near = {whole}, whole, tree.name[whole] not in _ARTICLES
+    while at > 0 and tree.name[at] not in ("body", "html"):
+        above = tree.parent[at]
+        framed = tree.name[above] in ("body", "html", "#")
+        for i in children.get(above, []):
+            if i == at or tree.head[i]:
+                continue
+            menu = linked[i] >= MENU * size[i]
+            prose = tree.name[i] in ("p", "pre", "blockquote", "h1") and (size[i] >= SIBLING_PROSE or tree.name[i] == "h1") and linked[i] < 0.25 * size[i]
+            if points[i] >= max(10.0, SIBLING_SHARE * top) or prose:
+                chosen.add(i)
+            elif near and not menu and (not framed or tree.name[i] in _FLOW):
+                chosen.add(i)
+        at, near = above, False
+    return chosen
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: blocks joined by two line feeds."""
     if not page or page.isspace():
@@ -292,24 +371,10 @@ def main_text(page: str | None) -> str:
         tree.settle(tree.brought_back(points, size))
         points, size, linked = tree.scores()
     best = max(range(n), key=lambda i: (points[i], -i))
-    chosen = {best}
     if points[best] > 0:
-        # an article or main element around the best container holds it whole
-        at = best
-        while at > 0:
-            if tree.name[at] in ("article", "main"):
-                best, chosen = at, {at}
-                break
-            at = tree.parent[at]
-        if best:
-            above = tree.parent[best]
-            for i in range(1, n):
-                if tree.parent[i] == above and i != best and not tree.dropped[i] and size[i]:
-                    prose = tree.name[i] in ("p", "pre", "blockquote", "h1") and (size[i] >= SIBLING_PROSE or tree.name[i] == "h1") and linked[i] < 0.25 * size[i]
-                    if points[i] >= max(10.0, SIBLING_SHARE * points[best]) or prose:
-                        chosen.add(i)
+        chosen = _container(tree, best, points, size, linked)
     else:  # no paragraph: an article's headings, or whatever isn't dropped
-        chosen = {i for i in range(n) if tree.name[i] in ("article", "main") and not tree.dropped[i]} or {0}
+        chosen = {i for i in range(n) if tree.name[i] in _ARTICLES and not tree.dropped[i]} or {0}
     inside = [False] * n
     for i in range(n):
         inside[i] = not tree.dropped[i] and (i in chosen or (i > 0 and inside[tree.parent[i]]))

@@ -534,6 +534,49 @@ def test_main_text_keeps_the_whole_article():
     assert pages.main_text('<body><div class="comments"><p>nice, very, nice</p></div></body>') == ""
 
 
+LONG = "Some words of a long paragraph, with commas, that is long enough to count as prose. "
+
+
+def test_main_text_without_an_article_element():
+    """Pages made of parts of the article and parts beside it, in several frames; the parts of the article are expected whole."""
+    own = [
+        (f"<h1>Title</h1><p>{LONG}</p>", ["Title", LONG]), (f"<h2>Two</h2><p>{LONG * 2}</p>", ["Two", LONG * 2]), ("<ul><li>one<li>two</ul>", ["one", "two"]), ("<table><tr><th>k<th>v<tr><td>1<td>2</table>", ["k", "v", "1", "2"]),
+        ("<blockquote>Said so.</blockquote>", ["Said so."]), ("<h2>End</h2><p>Short closing part.</p>", ["End", "Short closing part."]), ("<figure><figcaption>A caption</figcaption></figure>", ["A caption"]), (f"<p>{LONG * 3}</p>", [LONG * 3]),
+    ]
+    beside = ['<nav><a href="/">Home</a></nav>', '<div class="header"><a href="/">Site</a> of words</div>', '<div id="links"><a href="a">One</a> <a href="b">Two</a></div>', '<div class="sidebar"><p>side, side, side</p></div>', "<footer>Contact</footer>"]
+    frames = ["<body>{1}<div id=c>{0}</div>{2}</body>", "<body><div class=page>{1}<div>{0}</div>{2}</div></body>", "{1}<div>{0}</div>{2}"]
+    r = random.Random(2)
+    for n in range(200):
+        some = [own[0], *r.sample(own[1:], r.randint(1, len(own) - 1)), own[-1]]
+        wrapped = [f"<section>{h}</section>" if n % 2 else h for h, _ in some]
+        sides = r.sample(beside, 3)
+        page = r.choice(frames).format("".join(wrapped), sides[0], sides[1] + sides[2])
+        assert pages.main_text(page) == "\n\n".join(" ".join(x.split()) for _, texts in some for x in texts), page
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    forms = ["<div>", "<a x ", "<! ", "<? x", '<a "', "<b>x", "<object>", "</object", "<p>x</i>", "<article></main>", "<!--", "<a b='", "<ul><li>", "<section><p>a, b</p>", "<b></b><i>", "<li>x</li>"]
+    for form in forms:
+        for page in (form * 20_000, "<ul><li><ul>" + "<div>" * 5000 + form * 5000, form * 20_000 + "\">'>"):
+            start = time.process_time()
+            pages.main_text(page)
+            assert time.process_time() - start < 5, form
+    assert pages.main_text("<p>a <b c 1 < 2 and d") == "a <b c 1 < 2 and d" and pages.main_text('<p title="a > b">c</p><p x="d>e</p>f') == "c\n\ne\n\nf"
+
+
+def test_pages_of_odd_rows(spark):
+    rows = [(1, "u", "<p>One, two</p>", "x"), (1, "u", "<p>One, two</p>", "x"), (None, None, "<p>Three</p>", "y"), (2, "v", None, None), (3, "v", "", "z"), (4, "v", " \n", "z"), (5, "w", "<p>" + "word, " * 100_000, "z")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = pages.extract(frame)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    out = sorted(((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in got.collect()), key=str)
+    long = ("word, " * 100_000).strip()
+    assert out == sorted([(1, "u", "One, two", 8)] * 2 + [(0, "", "Three", 5), (2, "v", "", 0), (3, "v", "", 0), (4, "v", "", 0), (5, "w", long, len(long))], key=str)
+    assert pages.extract(frame.where("false")).count() == 0
+
+
 def test_pages_query_equals_the_articles(spark, sf_dir):
     import html
 
