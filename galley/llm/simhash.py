@@ -27,6 +27,8 @@ from .components import components
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints may differ.
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: Fingerprints whose variants a task makes: some 30 MB of rows.
+BALLS = 1 << 14
 
 
 def fingerprint_many(texts: list[bytes]) -> np.ndarray:
@@ -77,6 +79,9 @@ def fingerprints(docs: DataFrame, *others: str) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """a, b: pairs of distinct fingerprints within the radius, enough of them to connect every group."""
+    # 65 rows come of each: spread them over tasks first, whatever a coalesced shuffle left
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // BALLS))
+    nodes = nodes.select("fp").repartition(parts, "fp")
     variant = F.when(F.col("i") == 64, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.expr("shiftleft(1L, i)")))
     balls = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i")).select("fp", variant.alias("variant"))
     least = F.min("fp").over(Window.partitionBy("variant"))
@@ -86,7 +91,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def _rooted(prints: DataFrame, least: Column) -> DataFrame:
     """fp, least, root of each distinct fingerprint: the aggregate of its rows, and the fingerprint that stands for its group."""
-    nodes = prints.groupBy("fp").agg(least.alias("least"))
+    nodes = common.stored(prints.groupBy("fp").agg(least.alias("least")), "nodes")
     roots = components(links(nodes))
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
