@@ -18,6 +18,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once in a Python worker.
@@ -74,26 +76,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def open_file(path: str, mode: str):
-    """Opens a file of the shared folder for binary reading or writing, through Arrow's file systems if it isn't local."""
+def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system for a path of the shared folder, and the path there; one that Arrow doesn't know raises."""
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    if "://" not in path:
-        if mode == "wb":
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-        return open(path, mode)
-    fs, inner = pa.fs.FileSystem.from_uri(path)
-    return fs.open_output_stream(inner) if mode == "wb" else fs.open_input_file(inner)
+    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+
+
+def open_file(path: str, mode: str):
+    """Opens a file of the shared folder for binary reading ("rb") or writing ("wb")."""
+    fs, inner = _file_system(path)
+    if mode == "rb":
+        return fs.open_input_file(inner)
+    fs.create_dir(os.path.dirname(inner), recursive=True)
+    return fs.open_output_stream(inner)
 
 
 def rename_file(old: str, new: str) -> None:
-    if old.startswith("file:"):
-        old, new = ("/" + p[5:].lstrip("/") for p in (old, new))
-    if "://" not in old:
-        os.replace(old, new)
-        return
-    fs, inner = pa.fs.FileSystem.from_uri(old)
-    fs.move(inner, pa.fs.FileSystem.from_uri(new)[1])
+    fs, inner = _file_system(old)
+    fs.move(inner, _file_system(new)[1])
+
+
+def read_parquet(path: str, columns: list[str]) -> pa.Table:
+    """The rows of a Parquet folder in the shared folder; none if the folder isn't there."""
+    fs, inner = _file_system(path)
+    found = fs.get_file_info(pa.fs.FileSelector(inner, allow_not_found=True))
+    files = sorted(f.path for f in found if f.path.endswith(".parquet"))
+    if not files:
+        return pa.table({c: pa.array([], pa.string()) for c in columns})
+    return pa.concat_tables([pq.read_table(f, columns=columns, filesystem=fs, partitioning=None) for f in files])
 
 
 def as_bytes(column) -> list[bytes]:

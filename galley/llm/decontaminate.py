@@ -8,13 +8,16 @@ tree for ranks and every ``SAMPLE``-th suffix position. All phrases search backw
 once; occurrences are located by walking to a sampled position, compared with the text,
 and merged into spans.
 
-No shuffle is needed. The benchmark goes to the executors in blocks of at most
-``BLOCK`` bytes, and a shard is searched for one block after another, so neither a
-broadcast nor an index of phrases grows with the benchmark.
+The documents aren't shuffled. The benchmark is dealt out by a hash into blocks of about
+``BLOCK`` bytes, written to the shared folder; a task reads one block after another and
+searches its shards, ``GROUP`` at a time, for it. So nothing of the benchmark goes through
+the driver or a broadcast, and no index of phrases grows with it. A single block stays in
+the worker.
 
 A null text has no words: nothing is hit. A benchmark item without words has no phrase.
-Repeated rows and null doc_ids are kept; items with equal ids count as one. Other columns
-are ignored; an empty table on either side gives no hits or no rows.
+Repeated rows and null doc_ids are kept; items with equal ids count as one, and one without
+an id has the id "". Other columns are ignored; an empty table on either side gives no hits
+or no rows. ``scan`` and ``keep_clean`` write the blocks when they are called.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of a phrase; bytes of text under one index, and of benchmark text in one block.
-WINDOW, SHARD, BLOCK = 13, 6 << 20, 4 << 20
+#: Words of a phrase; bytes of text under one index, and of benchmark text in one block; shards that are searched for a block together.
+WINDOW, SHARD, BLOCK, GROUP = 13, 6 << 20, 4 << 20, 8
 #: Every so many positions of a stretch are kept with their rows.
 SAMPLE = 8
 
@@ -236,20 +239,6 @@ class Shard:
             yield b - a, hits, sorted(map(str, self.found[n])), spans
 
 
-def blocks_of(benchmark: DataFrame, most: int = BLOCK) -> Iterator[list[tuple]]:
-    """The benchmark's items in lists of at most ``most`` bytes (or one longer item), as the driver reads them partition by partition."""
-    items, size = [], 0
-    for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
-        text = row.text.encode()
-        if items and size + len(text) > most:
-            yield items
-            items, size = [], 0
-        items.append((row.item_id, text))
-        size += len(text)
-    if items:
-        yield items
-
-
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first:long,end:long>>, contaminated boolean"
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))]
@@ -257,23 +246,55 @@ _SCHEMA = pa.schema(
 )
 
 
+def write_blocks(benchmark: DataFrame, most: int = BLOCK) -> tuple[str, int]:
+    """Writes the items to the shared folder, dealt into blocks of about ``most`` bytes (or one longer item): the folder and the number of blocks."""
+    items = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n, path = max(1, -(-size // most)), common.new_path(benchmark.sparkSession, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition(n, "block").write.partitionBy("block").parquet(path)
+    return path, n
+
+
+#: The single block of a benchmark, by its folder and window, in a worker.
+_single: dict[tuple[str, int], Block] = {}
+
+
 class _Search:
     """Searches shards for all blocks of a benchmark, in a task."""
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int):
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, most: int = BLOCK):
         common.prepare(docs.sparkSession)
-        self.window, self.ready = window, None
-        self.blocks = [docs.sparkSession.sparkContext.broadcast(items) for items in blocks_of(benchmark)]
+        self.window, (self.path, self.blocks) = window, write_blocks(benchmark, most)
+
+    def block(self, k: int) -> Block:
+        key = self.path, self.window
+        if key in _single:
+            return _single[key]
+        items = common.read_parquet(f"{self.path}/block={k}", ["item_id", "text"])
+        block = Block(list(zip(items.column("item_id").to_pylist(), common.as_bytes(items.column("text")), strict=True)), self.window)
+        if self.blocks == 1:
+            _single.clear()
+            _single[key] = block
+        return block
+
+    def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple]]]:
+        """Rows of a shard, and the columns of SCHEMA but the first for each of its texts."""
+        held: list[tuple[pa.Table, Shard]] = []
+
+        def found() -> Iterator[tuple[pa.Table, list[tuple]]]:
+            for k in range(self.blocks):
+                block = self.block(k)
+                for _, shard in held:
+                    shard.search(block)
+            for table, shard in held:
+                yield table, [(n, hits, items, spans, hits > 0 and 20 * hits >= n) for n, hits, items, spans in shard.results()]
+            held.clear()
 
-    def rows(self, texts: list[bytes]) -> list[tuple]:
-        """The columns of SCHEMA but the first, for each text of a shard."""
-        shard = Shard(texts)
-        if len(self.blocks) == 1 and self.ready is None:  # a single block stays for the task's other shards
-            self.ready = [Block(self.blocks[0].value, self.window)]
-        ready = self.ready or (Block(b.value, self.window) for b in self.blocks)
-        for block in ready:
-            shard.search(block)
-        return [(n, hits, items, spans, hits > 0 and 20 * hits >= n) for n, hits, items, spans in shard.results()]
+        for table, texts in _shards(batches):
+            held.append((table, Shard(texts)))
+            if self.blocks == 1 or len(held) == GROUP:
+                yield from found()
+        yield from found()
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[bytes]]]:
@@ -293,28 +314,27 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[
         yield pa.Table.from_batches(parts), texts
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK) -> DataFrame:
     """For each row of docs: words, words hit, the items hit, spans of hit words and whether it is contaminated.
 
     A document is contaminated if at least a twentieth of its words is hit.
     """
-    search = _Search(docs, benchmark, window)
+    search = _Search(docs, benchmark, window, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in _shards(batches):
-            yield common.batch(_SCHEMA, [common.plain(table.column("doc_id")), *zip(*search.rows(texts), strict=True)])
+        for table, rows in search.groups(batches):
+            yield common.batch(_SCHEMA, [common.plain(table.column("doc_id")), *zip(*rows, strict=True)])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK) -> DataFrame:
     """The rows of docs that aren't contaminated, unchanged."""
-    search = _Search(docs, benchmark, window)
+    search = _Search(docs, benchmark, window, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in _shards(batches):
-            clean = pa.array([not row[-1] for row in search.rows(texts)])
-            yield from table.filter(clean).to_batches()
+        for table, rows in search.groups(batches):
+            yield from table.filter(pa.array([not row[-1] for row in rows])).to_batches()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -317,12 +317,20 @@ def test_fm_index_equals_brute_force(seed):
         assert (words, hit, found) == expected[n][:3] and sum(s["end"] - s["first"] for s in spans) == hit
 
 
+def test_many_blocks_find_what_one_finds(spark, sf_dir):
+    docs, bench = read(spark, sf_dir), read(spark, sf_dir, "benchmark")
+    rows = lambda most: sorted((r.doc_id, r.n_words, r.n_hit, *r["items"], str(r.spans)) for r in decontaminate.scan(docs, bench, most=most).collect())
+    assert decontaminate.write_blocks(bench, 500)[1] > 3 and rows(500) == rows(decontaminate.BLOCK)
+
+
 def test_decontamination_of_odd_rows(spark):
     bench = spark.createDataFrame([(1, "word word"), (2, None), (3, ""), (3, "One")], "item_id long, text string")
     got = {r.doc_id: (r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate.scan(frame(spark, ODD), bench).collect()}
     assert got == {1: (0, [], False), 2: (0, [], False), 3: (0, [], False), 4: (1, ["3"], True), None: (0, [], False), 5: (40_000, ["1"], True)}
     assert decontaminate.scan(frame(spark, ODD), bench.where("false")).where("n_hit > 0").count() == 0
-    assert decontaminate.keep_clean(frame(spark, ODD), bench).count() == 4 and decontaminate.keep_clean(frame(spark, []), bench).count() == 0
+    assert {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.scan(frame(spark, ODD), bench, most=4).collect()} == {d: (n, items) for d, (n, items, _) in got.items()}  # in several blocks
+    assert decontaminate.scan(frame(spark, ODD), spark.createDataFrame([(None, "two"), (None, "words")], "item_id long, text string")).where("n_hit > 0").select("n_hit", "items").collect() == [(2, [""])]
+    assert decontaminate.keep_clean(frame(spark, ODD), bench).count() == 4 and decontaminate.keep_clean(frame(spark, ODD), bench, most=4).count() == 4 and decontaminate.keep_clean(frame(spark, []), bench).count() == 0
 
 
 # Personal data
