@@ -1,7 +1,9 @@
 """Changes: differences between observed and stored items, and batches applied to tables.
 
-Tables are immutable, so a change gives a new DataFrame. Batches are folded per row first,
-and the result meets the table in one join.
+Tables are immutable, so a change gives a new DataFrame with all columns of the old one.
+Batches are folded per row first, and the result meets the table in one join. Rows that are
+made get created_at and updated_at, rows that a change alters updated_at, where the table
+has these columns; ``now`` is the moment, by default the current one.
 """
 
 from __future__ import annotations
@@ -50,73 +52,118 @@ def action_counts(observed: DataFrame) -> DataFrame:
     return known.join(counts, "match_action", "full_outer").select("match_action", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def apply_actions(items: DataFrame, actions: DataFrame, fields: list[str], next_id: int) -> tuple[DataFrame, DataFrame]:
-    """Applies an ordered batch. actions: pos, action, item_id, data (map<string,string>).
+#: Columns that tell when a row was made and last altered.
+MADE, ALTERED = "created_at", "updated_at"
 
-    create makes a row (ids from next_id on, in order); update and delete change the row
-    with item_id if it is there when they come; anything else, a missing id and id 0 do
-    nothing. Returns the new items and the applied actions: pos, action, item_id, name.
-    Unknown keys of data are left out.
-    """
-    created = actions.where("action = 'create'")
-    made = _numbered(created, next_id)
+
+def _moment(now: Column | None) -> Column:
+    return F.current_timestamp() if now is None else now
+
+
+def _altered(table: DataFrame, new: dict[str, Column], now: Column | None) -> dict[str, Column]:
+    """The new columns, and updated_at if one of them differs from the old and it isn't among them."""
+    if ALTERED not in table.columns or ALTERED in new or not new:
+        return new
+    differs = F.lit(False)
+    for name, value in new.items():
+        differs = differs | ~value.eqNullSafe(F.col(name))
+    return {**new, ALTERED: F.when(differs, _moment(now).cast(table.schema[ALTERED].dataType)).otherwise(F.col(ALTERED))}
+
+
+def touched_items(items: DataFrame, actions: DataFrame, fields: list[str], next_id: int, now: Column | None = None, defaults: dict | None = None) -> DataFrame:
+    """The rows that an ordered batch makes or finds: the items' columns as it leaves them, _alive (false: deleted, or never there) and _out (what was applied)."""
+    made = _numbered(actions.where("action = 'create'"), next_id)
     changes = actions.where(F.col("action").isin("update", "delete") & (F.coalesce("item_id", F.lit(0)) != 0))
     steps = changes.select("pos", "action", F.col("item_id").cast("bigint").alias("item_id"), "data").unionByName(made.select("pos", "action", "item_id", "data"))
     # maps have no order, so only places are compared
     log = F.array_sort(F.collect_list(F.struct("pos", "action", "data")), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
-    per_item = steps.groupBy("item_id").agg(log.alias("log"))
-    columns = [F.col(f).cast("string") for f in fields]
-    values = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*columns))
-    base = items.select(F.col("id").alias("_id"), values.alias("_values"))
-    joined = per_item.join(base, per_item["item_id"] == base["_id"], "left")
-    state = "struct<alive:boolean,values:map<string,string>,out:array<struct<pos:bigint,action:string,name:string>>>"
+    per_item = steps.groupBy(F.col("item_id").alias("_item")).agg(log.alias("_log"))
+    joined = per_item.join(items.withColumns({"_item": F.col("id").cast("bigint"), "_there": F.lit(True)}), "_item", "left")
+    values = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f).cast("string") for f in fields]))
+    state = "struct<alive:boolean,made:boolean,altered:boolean,values:map<string,string>,patch:map<string,string>,out:array<struct<pos:bigint,action:string,name:string>>>"
+    none = F.create_map().cast("map<string,string>")
+
+    def over(old: Column, new: Column) -> Column:
+        return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
 
     def step(s: Column, r: Column) -> Column:
-        known = F.map_filter(F.coalesce(r["data"], F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*fields))
-        live = s["alive"]
-        merged = F.when(r["action"] == "create", known).otherwise(F.map_concat(F.map_filter(s["values"], lambda k, _: ~F.map_contains_key(known, k)), known))
+        known = F.map_filter(F.coalesce(r["data"], none), lambda k, _: k.isin(*fields))
+        create, live = r["action"] == "create", s["alive"]
+        merged = F.when(create, known).otherwise(over(s["values"], known))
         name = F.when(r["action"] == "delete", F.try_element_at(s["values"], F.lit("name"))).otherwise(F.try_element_at(merged, F.lit("name")))
+        differs = F.size(F.map_filter(known, lambda k, v: ~F.try_element_at(s["values"], k).eqNullSafe(v))) > 0
         said = lambda word: F.array_append(s["out"], F.struct(r["pos"].cast("bigint").alias("pos"), F.lit(word).alias("action"), name.alias("name")))
-        new = lambda alive, vals, out: F.struct(alive.alias("alive"), vals.alias("values"), out.alias("out")).cast(state)
+
+        def new(alive, is_made, altered, vals, patch, out):
+            names = ("alive", "made", "altered", "values", "patch", "out")
+            return F.struct(*[x.alias(n) for n, x in zip(names, (alive, is_made, altered, vals, patch, out), strict=True)]).cast(state)
+
         return (
-            F.when(r["action"] == "create", new(F.lit(True), merged, said("created")))
-            .when(live & (r["action"] == "update"), new(F.lit(True), merged, said("updated")))
-            .when(live & (r["action"] == "delete"), new(F.lit(False), s["values"], said("deleted")))
+            F.when(create, new(F.lit(True), F.lit(True), F.lit(True), merged, known, said("created")))
+            .when(live & (r["action"] == "update"), new(F.lit(True), s["made"], s["altered"] | differs, merged, over(s["patch"], known), said("updated")))
+            .when(live & (r["action"] == "delete"), new(F.lit(False), s["made"], s["altered"], s["values"], s["patch"], said("deleted")))
             .otherwise(s)
         )
 
+    there = F.coalesce("_there", F.lit(False))
     start = F.struct(
-        F.col("_id").isNotNull().alias("alive"), F.coalesce("_values", F.create_map().cast("map<string,string>")).alias("values"),
+        there.alias("alive"), F.lit(False).alias("made"), F.lit(False).alias("altered"), F.when(there, values).otherwise(none).alias("values"), none.alias("patch"),
         F.array().cast("array<struct<pos:bigint,action:string,name:string>>").alias("out"),
     ).cast(state)
-    folded = joined.select("item_id", F.aggregate("log", start, step).alias("s"))
-    kinds = {f.name: f.dataType for f in items.schema}
-    living = folded.where("s.alive").select(F.col("item_id").alias("id"), *[F.try_element_at("s.values", F.lit(f)).cast(kinds[f]).alias(f) for f in fields])
-    untouched = items.select("id", *fields).join(folded.select(F.col("item_id").alias("id")), "id", "left_anti")
-    done = folded.select("item_id", F.explode("s.out").alias("o")).select("o.pos", "o.action", "item_id", "o.name")
-    return untouched.unionByName(living), done
+    folded = joined.withColumn("_s", F.aggregate("_log", start, step))
+    columns = []
+    for f in items.schema:
+        old = F.when(F.col("_s.made"), F.lit((defaults or {}).get(f.name)).cast(f.dataType)).otherwise(F.col(f.name))
+        if f.name == "id":
+            old = F.col("_item").cast(f.dataType)
+        elif f.name in fields:
+            old = F.when(F.map_contains_key("_s.patch", F.lit(f.name)), F.try_element_at("_s.patch", F.lit(f.name)).cast(f.dataType)).otherwise(old)
+        elif f.name in (MADE, ALTERED):
+            old = F.when(F.col("_s.made" if f.name == MADE else "_s.altered"), _moment(now).cast(f.dataType)).otherwise(F.col(f.name))
+        columns.append(old.alias(f.name))
+    return folded.select(*columns, F.col("_s.alive").alias("_alive"), F.col("_s.out").alias("_out"))
+
+
+def apply_actions(items: DataFrame, actions: DataFrame, fields: list[str], next_id: int, now: Column | None = None, defaults: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Applies an ordered batch. actions: pos, action, item_id, data (map<string,string>).
+
+    create makes a row (ids from next_id on, in order; columns that data lacks get their
+    default or null); update and delete change the row with item_id if it is there when they
+    come; anything else, a missing id and id 0 do nothing. Returns the new items, with all
+    their columns, and the applied actions: pos, action, item_id, name. Keys of data that
+    aren't among the fields are left out.
+    """
+    touched = touched_items(items, actions, fields, next_id, now, defaults)
+    rest = items.join(touched.select("id"), "id", "left_anti").select(*items.columns)
+    done = touched.select(F.col("id").alias("item_id"), F.explode("_out").alias("o")).select("o.pos", "o.action", "item_id", "o.name")
+    return rest.unionByName(touched.where("_alive").drop("_alive", "_out")), done
+
+
+#: Creates that one task numbers.
+NUMBERED = 100_000
 
 
-def _numbered(created: DataFrame, next_id: int, parts: int = 64) -> DataFrame:
+def _numbered(created: DataFrame, next_id: int) -> DataFrame:
     """Creates with ids from next_id on in order of pos.
 
-    Positions are cut into ranges; the ranges' counts (a few rows) give each its first
-    id, so no task has to order all creates.
+    Positions are cut into ranges, as many as the rows need; the ranges' counts give each
+    its first id, so no task has to order all creates.
     """
-    least, most = created.agg(F.coalesce(F.min("pos"), F.lit(0)), F.coalesce(F.max("pos"), F.lit(0))).first()
-    width = max(1, -(-(most - least + 1) // parts))
+    least, most, rows = created.agg(F.coalesce(F.min("pos"), F.lit(0)), F.coalesce(F.max("pos"), F.lit(0)), F.count("*")).first()
+    width = max(1, -(-(most - least + 1) // max(1, -(-rows // NUMBERED))))
     placed = created.withColumn("_part", F.floor((F.col("pos") - least) / width))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy("pos"))
-    return placed.join(F.broadcast(base), "_part").select("pos", "action", "data", (F.lit(next_id - 1) + F.col("_base") + place).cast("bigint").alias("item_id"))
+    return placed.join(base, "_part").select("pos", "action", "data", (F.lit(next_id - 1) + F.col("_base") + place).cast("bigint").alias("item_id"))
 
 
-def update_rows(table: DataFrame, patches: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+def update_rows(table: DataFrame, patches: DataFrame, fields: list[str], key: str = "id", now: Column | None = None) -> DataFrame:
     """Partial update. patches: key and patch (map<string,string>, one row for each key); a field in the map is set, null included."""
     kinds = {f.name: f.dataType for f in table.schema}
     joined = table.join(patches.select(F.col(key).alias("_key"), "patch"), table[key] == F.col("_key"), "left")
     new = {f: F.when(F.coalesce(F.map_contains_key("patch", F.lit(f)), F.lit(False)), F.try_element_at("patch", F.lit(f)).cast(kinds[f])).otherwise(F.col(f)) for f in fields}
+    new = _altered(table, new, now)
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in table.columns])
 
 
@@ -133,18 +180,20 @@ def delete_cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, for
     return parents.join(ids, key, "left_anti").select(*parents.columns), left
 
 
-def delete_zones(zones: DataFrame, items: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+def delete_zones(zones: DataFrame, items: DataFrame, gone: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Zones without the given ids (column id); their items stay, without a zone."""
     ids = gone.select(F.col("id").alias("_gone")).distinct()
-    freed = items.join(ids, items["zone_id"] == F.col("_gone"), "left").withColumn("zone_id", F.when(F.col("_gone").isNull(), F.col("zone_id")))
+    new = _altered(items, {"zone_id": F.when(F.col("_gone").isNull(), F.col("zone_id"))}, now)
+    freed = items.join(ids, items["zone_id"] == F.col("_gone"), "left").select(*[new.get(c, F.col(c)).alias(c) for c in items.columns])
     return zones.join(ids, zones["id"] == F.col("_gone"), "left_anti"), freed.select(*items.columns)
 
 
-def insert(table: DataFrame, new: DataFrame, defaults: dict | None = None) -> DataFrame:
-    """The rows appended; columns they lack get their default or null."""
+def insert(table: DataFrame, new: DataFrame, defaults: dict | None = None, now: Column | None = None) -> DataFrame:
+    """The rows appended; columns they lack get their default or null, created_at and updated_at the moment."""
     for field in table.schema:
         if field.name not in new.columns:
-            new = new.withColumn(field.name, F.lit((defaults or {}).get(field.name)).cast(field.dataType))
+            value = _moment(now) if field.name in (MADE, ALTERED) else F.lit((defaults or {}).get(field.name))
+            new = new.withColumn(field.name, value.cast(field.dataType))
     return table.unionByName(new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema]))
 
 
@@ -158,16 +207,17 @@ def draft_rows(drafts: DataFrame) -> DataFrame:
 NOT_ON_CREATE = ["dish_photo_position", "rating_first", "rating_second"]
 
 
-def create_recipes(recipes: DataFrame, new: DataFrame, defaults: dict) -> DataFrame:
+def create_recipes(recipes: DataFrame, new: DataFrame, defaults: dict, now: Column | None = None) -> DataFrame:
     """Recipes with new ones appended; position and ratings of a new one are left at their defaults."""
-    return insert(recipes, new.drop(*NOT_ON_CREATE), {k: v for k, v in defaults.items() if k not in NOT_ON_CREATE})
+    return insert(recipes, new.drop(*NOT_ON_CREATE), {k: v for k, v in defaults.items() if k not in NOT_ON_CREATE}, now)
 
 
-def set_field(table: DataFrame, keys: DataFrame, field: str, value: Column, key: str = "id") -> DataFrame:
+def set_field(table: DataFrame, keys: DataFrame, field: str, value: Column, key: str = "id", now: Column | None = None) -> DataFrame:
     """One field of the rows with the given keys set to a value."""
     hit = keys.select(F.col(key).alias("_key")).distinct()
     joined = table.join(hit, table[key] == F.col("_key"), "left")
-    return joined.withColumn(field, F.when(F.col("_key").isNotNull(), value).otherwise(F.col(field))).drop("_key")
+    new = _altered(table, {field: F.when(F.col("_key").isNotNull(), value.cast(table.schema[field].dataType)).otherwise(F.col(field))}, now)
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in table.columns])
 
 
 def zone_rows(drafts: DataFrame) -> DataFrame:
@@ -177,3 +227,14 @@ def zone_rows(drafts: DataFrame) -> DataFrame:
     text = lambda c: F.to_json(F.coalesce(c, F.array().cast("array<string>"))).alias(c)
     kept = [c for c in placed.columns if c not in ("pos", "typical_categories", "typical_container_types")]
     return placed.select(*kept, text("typical_categories"), text("typical_container_types"))
+
+
+def update_zones(zones: DataFrame, patches: DataFrame, fields: list[str], now: Column | None = None) -> DataFrame:
+    """Partial update of zones of an area. patches: id, storage_area_id, plain (map<string,string>), lists (map<string,array<string>>, kept as JSON text).
+
+    A patch whose zone lies in another area does nothing; a null list is the text "null".
+    """
+    none = F.create_map().cast("map<string,string>")
+    lists = F.transform_values(F.coalesce("lists", F.create_map().cast("map<string,array<string>>")), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+    owned = patches.join(zones.select("id", "storage_area_id"), ["id", "storage_area_id"], "left_semi")
+    return update_rows(zones, owned.select("id", F.map_concat(F.coalesce("plain", none), lists).alias("patch")), fields, now=now)

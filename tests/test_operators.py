@@ -125,6 +125,37 @@ def test_action_batch(spark):
     ]
 
 
+def test_changes_keep_all_columns_and_tell_when(spark):
+    kinds = "id long, name string, level string, notes string, price double, zone_id int, created_at timestamp, updated_at timestamp"
+    old, moment = "2024-01-01 00:00:00", "2024-02-02 00:00:00"
+    rows = [(i, f"n{i}", "Low", f"note {i}", i / 2, i, old, old) for i in range(1, 5)]
+    items = spark.createDataFrame(rows, kinds.replace("timestamp", "string")).withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at")})
+    now = F.lit(moment).cast("timestamp")
+    batch = spark.createDataFrame(
+        [(0, "update", 1, {"level": "Full"}), (1, "update", 2, {"level": "Low"}), (2, "delete", 3, {}), (3, "create", None, {"name": "new", "price": "2.5"})], "pos long, action string, item_id long, data map<string,string>"
+    )
+    text = lambda df: sorted(tuple(str(v) for v in r) for r in df.collect())
+    after, _ = changes.apply_actions(items, batch, ["name", "level", "price"], 9, now, {"notes": "none"})
+    assert after.columns == items.columns and text(after) == [
+        ("1", "n1", "Full", "note 1", "0.5", "1", old, moment), ("2", "n2", "Low", "note 2", "1.0", "2", old, old), ("4", "n4", "Low", "note 4", "2.0", "4", old, old), ("9", "new", "None", "none", "2.5", "None", moment, moment),
+    ]
+    patches = spark.createDataFrame([(1, {"notes": None}), (2, {"notes": "note 2"})], "id long, patch map<string,string>")
+    assert [(r[3], r[7]) for r in text(changes.update_rows(items, patches, ["notes"], now=now))] == [("None", moment), ("note 2", old), ("note 3", old), ("note 4", old)]
+    assert [(r[2], r[7]) for r in text(changes.set_field(items, items.where("id < 2"), "level", F.lit("Gone"), now=now))][:2] == [("Gone", moment), ("Low", old)]
+    assert [r[6:] for r in text(changes.insert(items.limit(0), spark.createDataFrame([(7, "z")], "id long, name string"), now=now))] == [(moment, moment)]
+    _, freed = changes.delete_zones(spark.createDataFrame([(1,), (2,)], "id int"), items, spark.createDataFrame([(1,)], "id int"), now)
+    assert [(r[5], r[7]) for r in text(freed)][:2] == [("None", moment), ("2", old)]
+    real, _ = changes.apply_actions(items, batch, ["level"], 9)
+    assert real.where("id = 1 and updated_at > current_timestamp() - interval 1 hour").count() == 1
+    zones = spark.createDataFrame([(1, 5, "a", '["x"]', "[]"), (2, 5, "b", "[]", "[]"), (3, 6, "c", "[]", "[]")], "id long, storage_area_id long, name string, typical_categories string, typical_container_types string")
+    patch = spark.createDataFrame(
+        [(1, 5, {"name": "aa"}, {"typical_categories": ["y", "z"], "typical_container_types": None}), (2, 5, None, None), (3, 5, {"name": "other area"}, {})],
+        "id long, storage_area_id long, plain map<string,string>, lists map<string,array<string>>",
+    )
+    got = changes.update_zones(zones, patch, ["name", "typical_categories", "typical_container_types"])
+    assert text(got) == [("1", "5", "aa", '["y","z"]', "null"), ("2", "5", "b", "[]", "[]"), ("3", "6", "c", "[]", "[]")]
+
+
 def test_row_changes(spark):
     parents = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
     children = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "pid long, name string")

@@ -1,20 +1,30 @@
 from pyspark.sql import functions as F
 
 from galley.operators.changes import apply_actions
-from galley.streaming.actions import apply_stream, event_counts
+from galley.streaming.actions import apply_stream, compact, event_counts, read_state
 
 ACTIONS = "pos long, action string, item_id long, data map<string,string>"
 
 
 def test_stream_of_actions_equals_the_batches(spark, tmp_path):
-    items = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    items = spark.createDataFrame([(1, "a", "kept"), (2, "b", None), (3, "c", "x")], "id long, name string, notes string")
     root, source = str(tmp_path / "t"), str(tmp_path / "in")
     items.write.parquet(f"{root}/state=-1")
-    batch = spark.createDataFrame([(0, "update", 1, {"name": "x"}), (1, "delete", 2, {}), (2, "create", None, {"name": "n"})], ACTIONS)
-    batch.coalesce(1).write.parquet(source)
-    apply_stream(spark.readStream.schema(ACTIONS).parquet(source), root, ["name"], str(tmp_path / "cp")).awaitTermination()
-    expected, _ = apply_actions(items, batch, ["name"], 3)
-    assert sorted(map(tuple, spark.read.parquet(f"{root}/state=0").collect())) == sorted(map(tuple, expected.collect()))
+    batches = [
+        [(0, "update", 1, {"name": "x"}), (1, "delete", 2, {}), (2, "create", None, {"name": "n"})], [(3, "update", 4, {"name": "m"}), (4, "update", 2, {"name": "gone"}), (5, "delete", 3, {})], [(6, "create", None, {"name": "o"})],
+    ]
+    expected, next_id = items, 4
+    for n, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, ACTIONS)
+        batch.coalesce(1).write.mode("append").parquet(source)
+        apply_stream(spark.readStream.schema(ACTIONS).parquet(source), root, ["name"], str(tmp_path / "cp")).awaitTermination()
+        expected, _ = apply_actions(expected, batch, ["name"], next_id)
+        next_id = max(r.id for r in expected.collect()) + 1
+        assert read_state(spark, root).columns == items.columns
+        assert sorted(map(tuple, read_state(spark, root).collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+        assert spark.read.parquet(f"{root}/changes/_batch={n}").count() == len({r[2] for r in rows if r[2] != 2 or r[1] == "delete"}) + (n == 1)
+    compact(spark, root, 1)
+    assert sorted(map(tuple, read_state(spark, root, base=1).collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
 
 
 def test_windows_in_batch(spark):
