@@ -324,14 +324,14 @@ class FingerprintIndex:
     history: list[DataFrame] = field(default_factory=list)
     _pending: DataFrame | None = None
 
-    def ingest(self, docs: DataFrame, keep: bool = True) -> DataFrame:
+    def ingest(self, docs: DataFrame, keep: bool = True, measured: tuple[int, int] | None = None) -> DataFrame:
         """doc_id, n_words, n_removed, text (the words left, joined by one space) of every row.
 
-        keep: the batch's runs are written, for ``commit``.
+        keep: the batch's runs are written, for ``commit``. measured: bytes of text and rows, if known.
         """
         common.prepare(self.spark)
         docs = _plain(docs)
-        size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+        size, rows = measured or _measure(docs)
         if self.bits is None:
             self.bits = max(5, int(size // BUCKET_BYTES).bit_length())
         n_runs = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // self.run_bytes))
@@ -426,6 +426,11 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def _measure(docs: DataFrame) -> tuple[int, int]:
+    """Bytes of text, and rows."""
+    return tuple(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first())
+
+
 def _columns(table: pa.Table) -> tuple[list, list[bytes]]:
     return [None if i == NULL_ID else i for i in table.column("doc_id").to_pylist()], common.as_bytes(table.column("text"))
 
@@ -455,10 +460,10 @@ def removed(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = _plain(docs)
-    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    size, rows = _measure(docs)
     n = -(-size // batch_bytes)
     if n <= 1:
-        return FingerprintIndex(spark).ingest(docs, keep=False)
+        return FingerprintIndex(spark).ingest(docs, keep=False, measured=(size, rows))
     index = FingerprintIndex(spark, bits=max(5, int(size // BUCKET_BYTES).bit_length()))
     bounds = [None, *sorted(set(cuts_by_bytes(docs, n, size / rows))), None]
     out = None
