@@ -91,10 +91,17 @@ def _holds(kind: str, value: str) -> bool:
     if kind == "phone":
         return bool(re.fullmatch(r"[+(]?[0-9][0-9().\s-]*[0-9]", value)) and 9 <= len(digits) <= 15 and len(digits) < len(value)
     if kind == "secret":
-        return len(value) >= 24 and bool(re.fullmatch("[0-9A-Za-z_+/=-]+", value)) and bool(digits) and len(digits) < len(value)
+        return len(value) >= 18 and bool(re.fullmatch("[0-9A-Za-z_+/=-]+", value)) and bool(digits) and len(digits) < len(value)
     return bool(re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", value))
 
 
+def _padded(data: np.ndarray, end: int) -> int:
+    """A secret's end with the = that fill it up."""
+    for _ in range(2):
+        end += int(data[end] == 0x3D)
+    return end
+
+
 _models: dict[str, crf.Model] = {}
 
 
@@ -124,6 +131,7 @@ def find_many(texts: list[bytes], field: crf.Model) -> list[tuple[list[Span], li
                 origin = int(chars[tokens.words.text_start[n]])
                 added = []
                 for kind, a, b in extra[n]:
+                    b = _padded(tokens.words.data, b) if kind == "secret" else b
                     x, y = int(chars[a]) - origin, int(chars[b]) - origin
                     value = tokens.words.data[a:b].tobytes().decode()
                     if _holds(kind, value) and not any(x < q and p < y for _, p, q in base):
