@@ -27,6 +27,11 @@ def iso(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def local_date(moment: Column) -> Column:
+    """The day as a card shows it, in the session's time zone."""
+    return F.date_format(moment, "MMM d, yyyy")
+
+
 def file_stamp(moment: Column) -> Column:
     """The part of a picture's file name that tells when it came."""
     return F.date_format(moment, "yyyyMMdd_HHmmss")

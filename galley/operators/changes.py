@@ -203,6 +203,11 @@ def draft_rows(drafts: DataFrame) -> DataFrame:
     return named.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" and c != "name" else F.col(c) for c, t in named.dtypes])
 
 
+def with_constants(drafts: DataFrame, **values: Column) -> DataFrame:
+    """Drafts with the same values on every row, such as their zone or picture."""
+    return drafts.withColumns(values)
+
+
 #: Fields that a new recipe never keeps, though a request may hold them.
 NOT_ON_CREATE = ["dish_photo_position", "rating_first", "rating_second"]
 

@@ -36,9 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def from_sql(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    """The SELECT over the given tables; braces that name no table stand for themselves."""
+    parts = re.split(r"(\{(?:" + "|".join(tables) + r")\})", sql)
+    return spark.sql("".join(p if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts)), **tables)
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = RELATIONS[name]
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))})
+    return from_sql(spark, sql, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))})
 
 
 def duck(*names: str) -> str:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from galley import rules
 from galley.functions import amounts, dates, extract, forms, text
 from galley.operators import catalog, changes, extraction, inventory, nutrition, shopping
+from galley.schemas import DEFAULTS
+from galley.sources import media
 from galley.streaming.actions import event_counts
 
 from . import duck
 from .duck import quote
 from .proxies import duck as with_
-from .proxies import relation, table
+from .proxies import from_sql, relation, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,27 +38,6 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
-def values(spark: SparkSession, column: str, items: list) -> DataFrame:
-    return spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"i int, {column} string")
-
-
-def sql_values(column: str, items: list) -> str:
-    rows = ", ".join(f"({i}, {'NULL' if x is None else quote(x)})" for i, x in enumerate(items))
-    return f"(SELECT CAST(i AS INTEGER) AS i, CAST(x AS VARCHAR) AS {column} FROM (VALUES {rows}) AS t(i, x))"
-
-
-AMOUNTS = [None, "", " ", "2", "1.5", "1/2", "1 1/2", "1/2 cup", "1/2/3", "1/0", "1-2", "about 2", "1 1/2 x", "0", "2d", "1e3", "1_000", " 3 ", ".5", "5.", "-1", "2 /3"]
-UNITS = [None, "", "Tbsp.", "cups", "LBS", "oz..", "fl oz", "grams", "g", "tbsp .", "Cloves", "handful", " can "]
-NAMES = [
-    "Kosher Salt", "fine himalayan salt", "freshly ground black pepper", "extra-virgin olive oil", "Extra Virgin Olive Oil", "feta cheese, cubed", "feta cheese, cubed or crumbled", "garlic (2 cups)",
-    "(optional)", "eggs", "egg", "block feta cheese", "chicken thighs, patted dry", "Unsalted Butter", "salt, to taste", "large onion; diced", "feta cheese, cut into cubes", "sea salt",
-]
-CATEGORY_NAMES = [
-    "chicken broth", "corn tortillas", "peanut butter", "green bean", "green beans", "tomatoes", "frozen corn", "ground meat", "", "black pepper", "half-and-half", "sour cream sauce.", "lemon/lime",
-    "ice", "sparkling water", "tortilla", "Fresh dill (chopped)", "maple syrup topping", "cream cheese spread", "whipping cream",
-]
-
-
 # Recipes
 
 
@@ -124,29 +105,41 @@ def recipe_ids_lookup(spark, sf_dir):
 # Scalar functions
 
 
-@query(f"SELECT i, unit, {duck.unit('unit')} AS norm, CAST({duck.grams(quote('1'), 'unit')} AS DOUBLE) AS grams FROM {sql_values('unit', UNITS)}")
+#: Ingredients as people write them: units, amounts and names in several spellings.
+_SPELLED = """, spelled AS (SELECT recipe_id, id, ord, CASE ord % 5 WHEN 0 THEN upper(unit) WHEN 1 THEN concat(unit, '..') WHEN 2 THEN concat(' ', unit, ' ') WHEN 3 THEN CASE WHEN id % 2 = 0 THEN NULL ELSE 'Ounces' END ELSE unit END AS unit,
+    CASE id % 9 WHEN 0 THEN concat(amount, ' heaped') WHEN 1 THEN concat(' ', amount, ' ') WHEN 2 THEN concat('about ', amount) WHEN 3 THEN concat(amount, '/2') WHEN 4 THEN concat(amount, 'e1') WHEN 5 THEN NULL WHEN 6 THEN concat(amount, '/0') ELSE amount END AS amount,
+    CASE ord % 4 WHEN 0 THEN concat('Fresh ', name, ', chopped (optional)') WHEN 1 THEN upper(name) WHEN 2 THEN concat(name, ', cut into cubes') ELSE concat('(', name, ') Kosher Salt') END AS name FROM ingredients)"""
+
+
+def _spelled(spark, sf_dir) -> DataFrame:
+    rows = relation(spark, sf_dir, "ingredients")
+    body = _SPELLED[_SPELLED.index("SELECT") : -1].replace("FROM ingredients", "FROM {rows}")
+    return from_sql(spark, body, rows=rows)
+
+
+@query(with_("ingredients") + _SPELLED + f" SELECT recipe_id, id, ord, unit, {duck.unit('unit')} AS norm, CAST({duck.grams(quote('1'), 'unit')} AS DOUBLE) AS grams FROM spelled")
 def unit_normalize(spark, sf_dir):
-    return values(spark, "unit", UNITS).select("i", "unit", text.normalize_unit(F.col("unit")).alias("norm"), amounts.amount_grams(F.lit("1"), F.col("unit")).alias("grams"))
+    return _spelled(spark, sf_dir).select("recipe_id", "id", "ord", "unit", text.normalize_unit(F.col("unit")).alias("norm"), amounts.amount_grams(F.lit("1"), F.col("unit")).alias("grams"))
 
 
-@query(f"SELECT i, amount, {duck.amount('amount')} AS parsed FROM {sql_values('amount', AMOUNTS)}")
+@query(with_("ingredients") + _SPELLED + f" SELECT recipe_id, id, ord, amount, {duck.amount('amount')} AS parsed FROM spelled")
 def amount_parse(spark, sf_dir):
-    return values(spark, "amount", AMOUNTS).select("i", "amount", amounts.parse_amount(F.col("amount")).alias("parsed"))
+    return _spelled(spark, sf_dir).select("recipe_id", "id", "ord", "amount", amounts.parse_amount(F.col("amount")).alias("parsed"))
 
 
-@query(f"SELECT i, amount, CAST({duck.grams('amount', quote('tbsp'))} AS DOUBLE) AS grams FROM {sql_values('amount', AMOUNTS)}")
+@query(with_("ingredients") + _SPELLED + f" SELECT recipe_id, id, ord, amount, CAST({duck.grams('amount', quote('tbsp'))} AS DOUBLE) AS grams FROM spelled")
 def amount_grams(spark, sf_dir):
-    return values(spark, "amount", AMOUNTS).select("i", "amount", amounts.amount_grams(F.col("amount"), F.lit("tbsp")).alias("grams"))
+    return _spelled(spark, sf_dir).select("recipe_id", "id", "ord", "amount", amounts.amount_grams(F.col("amount"), F.lit("tbsp")).alias("grams"))
 
 
-@query(duck.names(sql_values("name", NAMES)))
+@query(with_("ingredients") + _SPELLED + f" SELECT recipe_id, id, ord, name, norm FROM ({duck.names('spelled')})")
 def name_normalize(spark, sf_dir):
-    return values(spark, "name", NAMES).select("i", "name", text.normalize_name(F.col("name")).alias("norm"))
+    return _spelled(spark, sf_dir).select("recipe_id", "id", "ord", "name", text.normalize_name(F.col("name")).alias("norm"))
 
 
-@query(f"SELECT i, name, {duck.category('name')} AS category FROM {sql_values('name', CATEGORY_NAMES)}")
+@query(f"SELECT p_partkey AS id, p_name AS name, {duck.category('p_name')} AS category FROM part")
 def categorize(spark, sf_dir):
-    return values(spark, "name", CATEGORY_NAMES).select("i", "name", text.categorize(F.col("name")).alias("category"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), text.categorize(F.col("p_name")).alias("category"))
 
 
 @query(with_("ingredients") + f", named AS ({duck.names('ingredients')}) SELECT norm, {duck.category('norm')} AS category, CAST(count(*) AS BIGINT) AS n FROM named GROUP BY 1, 2")
@@ -274,22 +267,20 @@ def nutrition_totals(spark, sf_dir):
     return nutrition.totals(*_nutrition(spark, sf_dir))
 
 
-_NUTRIENT_ROWS = [
-    ("oats", 0, "Energy", "KCAL", 379.0), ("oats", 1, "Energy", "kJ", 1586.0), ("oats", 2, "Protein", "G", 13.2), ("oats", 3, "Protein", "G", 13.5), ("egg", 0, "Total lipid (fat)", "G", 9.5),
-    ("egg", 1, "Sodium, Na", "MG", None), ("water", 0, "Water", "G", 100.0), ("salt", 0, "Sodium, Na", "MG", 38758.0), ("salt", 1, "Energy", "kJ", 1.0),
-]
+#: Nutrient rows of every part, as lines of orders: names repeat, values are missing, energy comes in two units.
+_NUTRIENTS = """SELECT concat('food ', CAST(l_partkey AS STRING)) AS name, l_orderkey * 10000000 + l_linenumber * 1000000 + l_suppkey * 1000 + CAST(l_quantity AS INT) AS pos, CAST(CASE l_suppkey % 7 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Protein' WHEN 2 THEN 'Total lipid (fat)' WHEN 3 THEN 'Sodium, Na'
+    WHEN 4 THEN 'Water' WHEN 5 THEN 'Fiber, total dietary' ELSE 'Carbohydrate, by difference' END AS STRING) AS nutrient, CASE WHEN l_linenumber % 2 = 0 THEN 'KCAL' ELSE 'kJ' END AS unit_name,
+    CASE WHEN l_linenumber = 5 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS value FROM {lineitem}"""
 _MEASURE = duck.cases("nutrient", rules.NUTRIENTS, "NULL")
 
 
 @query(
-    "WITH v AS (SELECT * FROM (VALUES "
-    + ", ".join(f"({quote(a)}, {b}, {quote(c)}, {quote(d)}, {'NULL' if e is None else e})" for a, b, c, d, e in _NUTRIENT_ROWS)
-    + f""") AS t(name, pos, nutrient, unit_name, value)), m AS (SELECT *, {_MEASURE} AS measure FROM v)
-    SELECT name, {", ".join(f"CAST(arg_max(coalesce(value, 0), pos) FILTER (measure = '{m}') AS DOUBLE) AS {m}" for m in rules.MEASURES)}
+    f"WITH v AS ({_NUTRIENTS.replace('{lineitem}', 'lineitem')}), m AS (SELECT *, {_MEASURE} AS measure FROM v) "
+    + f"""SELECT name, {", ".join(f"CAST(arg_max(coalesce(value, 0), pos) FILTER (measure = '{m}') AS DOUBLE) AS {m}" for m in rules.MEASURES)}
     FROM m WHERE measure IS NOT NULL AND (measure <> 'calories' OR lower(unit_name) = 'kcal') GROUP BY name"""
 )
 def nutrient_pivot(spark, sf_dir):
-    return nutrition.pivot_nutrients(spark.createDataFrame(_NUTRIENT_ROWS, "name string, pos int, nutrient string, unit_name string, value double"))
+    return nutrition.pivot_nutrients(from_sql(spark, _NUTRIENTS, lineitem=table(spark, sf_dir, "lineitem")))
 
 
 # Inventory
@@ -381,25 +372,47 @@ def item_lines(spark, sf_dir):
 # Changes
 
 
-@query(
-    with_("items")
-    + """, a AS (SELECT id, name, quantity_level FROM items WHERE id % 5 <> 0), b AS (SELECT name, CASE WHEN id % 3 = 0 THEN 'Low' ELSE quantity_level END AS quantity_level FROM items WHERE id % 7 <> 0)
-    SELECT a.id AS matched_item_id, coalesce(b.name, a.name) AS name, coalesce(b.quantity_level, a.quantity_level) AS quantity_level,
+#: What is seen: all items, some under a new name and some with another level.
+_SEEN = "SELECT CASE WHEN id % 7 = 0 THEN concat(name, ' II') WHEN id % 7 = 1 THEN concat(' ', upper(name)) ELSE name END AS name, CASE WHEN id % 3 = 0 THEN 'Low' ELSE quantity_level END AS quantity_level FROM {items}"
+_DIFF = f""", b AS ({_SEEN.replace("{items}", "items")}), diff AS (SELECT a.id AS matched_item_id, coalesce(b.name, a.name) AS name, coalesce(b.quantity_level, a.quantity_level) AS quantity_level,
     CASE WHEN a.name IS NULL THEN 'new' WHEN b.name IS NULL THEN 'removed' WHEN a.quantity_level = b.quantity_level THEN 'unchanged' ELSE 'updated' END AS match_action
-    FROM a FULL JOIN b ON lower(trim(a.name)) = lower(trim(b.name))"""
-)
+    FROM items a FULL JOIN b ON lower(trim(a.name)) = lower(trim(b.name)))"""
+
+
+@query(with_("items") + _DIFF + " SELECT * FROM diff")
 def zone_diff(spark, sf_dir):
     items = relation(spark, sf_dir, "items")
-    observed = items.where("id % 7 <> 0").select(F.concat(F.lit(""), F.col("name")).alias("name"), F.when(F.col("id") % 3 == 0, "Low").otherwise(F.col("quantity_level")).alias("quantity_level"))
-    return changes.zone_diff(items.where("id % 5 <> 0").select("id", "name", "quantity_level"), observed)
+    return changes.zone_diff(items.select("id", "name", "quantity_level"), from_sql(spark, _SEEN, items=items))
+
+
+@query(with_("items") + _DIFF + f", k AS (SELECT unnest({list(rules.ACTION_BADGES)}) AS match_action) SELECT match_action, CAST(count(diff.name) AS BIGINT) AS n FROM k LEFT JOIN diff USING (match_action) GROUP BY 1")
+def action_counts(spark, sf_dir):
+    return changes.action_counts(zone_diff(spark, sf_dir))
+
+
+@query(
+    with_("items")
+    + _DIFF
+    + f""", r AS (SELECT *, CASE WHEN matched_item_id % 2 = 0 THEN 'delete' ELSE 'keep' END AS user_action FROM diff)
+    SELECT *, {duck.cases("match_action", rules.ACTION_BADGES, "NULL")} AS badge FROM (SELECT matched_item_id, trim(name) AS name, quantity_level, match_action, user_action,
+    CASE WHEN match_action = 'new' AND trim(name) <> '' THEN 'create' WHEN match_action = 'updated' AND matched_item_id <> 0 THEN 'update'
+    WHEN match_action = 'removed' AND user_action = 'delete' AND matched_item_id <> 0 THEN 'delete' END AS action FROM r) WHERE action IS NOT NULL"""
+)
+def diff_actions(spark, sf_dir):
+    reviewed = zone_diff(spark, sf_dir).withColumn("user_action", F.when(F.col("matched_item_id") % 2 == 0, "delete").otherwise("keep"))
+    return changes.diff_actions(reviewed).withColumn("badge", changes.badge(F.col("match_action")))
+
+
+_MADE_AT = "1998-01-01 00:00:00"
 
 
 def _batch(spark, sf_dir):
-    """Items and the batch of all actions on them; creates get ids above all others."""
-    items = relation(spark, sf_dir, "items").select("id", "name", "quantity_level")
+    """Items with all their columns and the batch of all actions on them; creates get ids above all others."""
+    items = relation(spark, sf_dir, "items").withColumns({c: F.lit(_MADE_AT).cast("timestamp") for c in ("created_at", "updated_at")})
     raw = relation(spark, sf_dir, "actions")
     level = F.when(F.col("quantity_level").isNotNull(), F.create_map(F.lit("name"), "name", F.lit("quantity_level"), "quantity_level")).otherwise(F.create_map(F.lit("name"), F.col("name")))
-    return items, raw.select("pos", "action", F.when(F.col("action") != "create", F.col("item_id")).alias("item_id"), level.alias("data"))
+    actions = raw.select("pos", "action", F.when(F.col("action") != "create", F.col("item_id")).alias("item_id"), level.alias("data"))
+    return changes.apply_actions(items, actions, ["name", "quantity_level"], 10_000_000, F.lit(NOW).cast("timestamp"), {"category": "none"})
 
 
 _BATCH = """, c AS (SELECT pos, action, 10000000 + row_number() OVER (ORDER BY pos) - 1 AS item_id, name, quantity_level, 1 AS made FROM actions WHERE action = 'create'),
@@ -413,18 +426,17 @@ _BATCH = """, c AS (SELECT pos, action, 10000000 + row_number() OVER (ORDER BY p
 @query(
     with_("items", "actions")
     + _BATCH
-    + """ SELECT id, name, quantity_level FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1) WHERE alive
-    UNION ALL SELECT item_id, name, quantity_level FROM c"""
+    + f""" SELECT s.id, s.name, i.storage_location, i.category, s.quantity_level, i.zone_id, i.quantity, i.unit, TIMESTAMP '{_MADE_AT}' AS created_at, CASE WHEN s.n > 0 THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{_MADE_AT}' END AS updated_at
+    FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1) s JOIN items i USING (id) WHERE s.alive
+    UNION ALL SELECT item_id, name, NULL, 'none', quantity_level, NULL, NULL, NULL, TIMESTAMP '{NOW}', TIMESTAMP '{NOW}' FROM c"""
 )
 def action_batch_items(spark, sf_dir):
-    items, actions = _batch(spark, sf_dir)
-    return changes.apply_actions(items, actions, ["name", "quantity_level"], 10_000_000)[0]
+    return _batch(spark, sf_dir)[0]
 
 
 @query(with_("items", "actions") + _BATCH + " SELECT pos, did AS action, id AS item_id, name FROM st WHERE did IS NOT NULL UNION ALL SELECT pos, 'created', item_id, name FROM c")
 def action_batch_log(spark, sf_dir):
-    items, actions = _batch(spark, sf_dir)
-    return changes.apply_actions(items, actions, ["name", "quantity_level"], 10_000_000)[1]
+    return _batch(spark, sf_dir)[1]
 
 
 @query(
@@ -466,12 +478,17 @@ def page_text(spark, sf_dir):
     return extraction.pages_text(table(spark, sf_dir, "pages")).select("page_id", "text", "enough")
 
 
-_LONG = "salt and pepper " * 20
-HTML = [
-    f'<div id="a" class="wprm-recipe-container x"><p>{_LONG}</p><div class="comments">no</div></div>', '<div class="wprm-recipe-container">short</div><p>rest &amp;lt; 1&#xBD; cup</p>',
-    f'<nav>menu</nav><div class="tasty-recipes-entry-content"><script>x</script>{_LONG}</article>tail', "<aside>a</aside><p>b&nbsp;c</p><div class=\"share x\">d</div>", None, "",
-    "<p>" + "word " * 3000 + "</p>", f"<DIV CLASS='x' class=\"recipe-card-container\">{_LONG}<section class=\"related\">r</section>",
-]
+#: The pages, some as recipe cards, some with side parts and pictures.
+_CARDS = """SELECT page_id, concat(CASE page_id % 3 WHEN 0 THEN concat('<meta property="og:image" content="', url, '.png">') WHEN 1 THEN concat('<META content=', chr(39), url, '.jpg', chr(39), ' x=1 property=', chr(39), 'og:image', chr(39), '/>') ELSE '<meta property="og:title" content="t">' END,
+    replace(replace(html, '<article>', CASE page_id % 5 WHEN 0 THEN '<div id="a" class="wprm-recipe-container x">' WHEN 1 THEN '<div class="recipe-card-container">' WHEN 2 THEN '<div class="tasty-recipes-entry-content">short</div><article>'
+    ELSE '<article>' END), '<footer>', CASE page_id % 4 WHEN 0 THEN '<div class="comments">no</div><footer>' WHEN 1 THEN '<section class="related">r</section><div class="share x">d</div><footer>' ELSE '<aside>s</aside><footer>' END)) AS html FROM {pages}"""
+
+
+def _cards(spark, sf_dir) -> DataFrame:
+    return from_sql(spark, _CARDS, pages=table(spark, sf_dir, "pages"))
+
+
+_DUCK_CARDS = f"(SELECT page_id, html FROM ({_CARDS.replace('{pages}', 'pages')}))"
 _PAGE = duck.page_text("html")
 
 
@@ -482,21 +499,18 @@ def _card(name: str) -> str:
 
 
 @query(
-    f"SELECT i, coalesce({', '.join(_card(n.replace(chr(92) + chr(34), chr(34))) for n in rules.CARD_CLASSES)}, CASE WHEN length({_PAGE}) > {rules.PAGE_TEXT_CAP} THEN ({_PAGE})[:{rules.PAGE_TEXT_CAP}] || '...' ELSE {_PAGE} END) AS text FROM {sql_values('html', HTML)}"
+    f"SELECT page_id, coalesce({', '.join(_card(n.replace(chr(92) + chr(34), chr(34))) for n in rules.CARD_CLASSES)}, CASE WHEN length({_PAGE}) > {rules.PAGE_TEXT_CAP} THEN ({_PAGE})[:{rules.PAGE_TEXT_CAP}] || '...' ELSE {_PAGE} END) AS text FROM {_DUCK_CARDS}"
 )
 def page_cards(spark, sf_dir):
-    return values(spark, "html", HTML).select("i", extract.page_text(F.col("html")).alias("text"))
-
-
-IMAGES = ['<meta property="og:image" content="a.png">', "<META content='b.jpg' x=1 property='og:image'/>", "<meta property='og:title' content='t'>", None, '<meta property="og:image" name="x" content="c.webp">']
+    return _cards(spark, sf_dir).select("page_id", extract.page_text(F.col("html")).alias("text"))
 
 
 @query(
-    f"""SELECT i, coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]*property=[\"'']og:image[\"''][^>]*content=[\"'']([^\"'']+)[\"'']', 1), ''),
-    nullif(regexp_extract(html, '(?i)<meta[^>]*content=[\"'']([^\"'']+)[\"''][^>]*property=[\"'']og:image[\"'']', 1), '')) AS image FROM {sql_values("html", IMAGES)}"""
+    f"""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]*property=[\"'']og:image[\"''][^>]*content=[\"'']([^\"'']+)[\"'']', 1), ''),
+    nullif(regexp_extract(html, '(?i)<meta[^>]*content=[\"'']([^\"'']+)[\"''][^>]*property=[\"'']og:image[\"'']', 1), '')) AS image FROM {_DUCK_CARDS}"""
 )
 def page_image(spark, sf_dir):
-    return values(spark, "html", IMAGES).select("i", extract.page_image(F.col("html")).alias("image"))
+    return _cards(spark, sf_dir).select("page_id", extract.page_image(F.col("html")).alias("image"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, props AS json FROM events")
@@ -505,45 +519,81 @@ def json_extract(spark, sf_dir):
     return extraction.parsed(events, "struct<k:bigint>").select("event_id", F.get("value", 0)["k"].alias("k"), "json")
 
 
-READINGS = [
-    "INGREDIENT TRANSCRIPTION:\n1/2 cup oil\n1/4 tsp salt\nAMOUNTS IN STEPS: use the oil, 1/3 cup, then 1/4 tsp\nSTEP 3: ok {", "AMOUNTS IN STEPS: 1/2 cup INGREDIENT TRANSCRIPTION: 1/3 cup", "nothing here",
-    "INGREDIENT TRANSCRIPTION: 3/4 lb beef, 2/3 Cups milk AMOUNTS IN STEPS: all of it in one go", "INGREDIENT TRANSCRIPTION: 1/2 cup AMOUNTS IN STEPS: 1/2 cups of it, [1/8 cup] more",
-]
+#: A reading of every order: two sections with fractions, in several forms.
+_READINGS = """SELECT o_orderkey AS reading_id, concat(CASE WHEN o_orderkey % 11 = 0 THEN 'AMOUNTS IN STEPS: 1/2 cup ' ELSE '' END, CASE WHEN o_orderkey % 7 = 0 THEN 'nothing here' ELSE 'INGREDIENT TRANSCRIPTION:' END,
+    ' 1/', CAST(o_custkey % 3 + 2 AS STRING), ' cup oil, ', CAST(o_custkey % 2 + 2 AS STRING), '/3 Tbsp salt, 3/4 stone ', CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'AMOUNTS IN STEPS:' END,
+    CASE WHEN o_orderkey % 5 = 0 THEN ' all of it in one go' ELSE concat(' use 1/', CAST(o_orderkey % 4 + 2 AS STRING), ' cups, then 2/3 tbsp') END,
+    CASE o_orderkey % 3 WHEN 0 THEN ' STEP 3: 1/9 cup {' WHEN 1 THEN '' ELSE ' of it, [1/8 cup] more' END) AS response FROM {orders}"""
 _FRACTIONS = r"(?i)(\d+/\d+)\s*(?:" + "|".join(rules.FRACTION_UNITS) + ")"
 _ENDS = "least(" + ", ".join(f"CASE WHEN strpos(response[b + 20:], {quote(m)}) > 0 THEN strpos(response[b + 20:], {quote(m)}) + 19 ELSE 1000000 END" for m in rules.STEP_ENDS) + ")"
 
 
 @query(
-    f"""WITH v AS {sql_values("response", READINGS)}, p AS (SELECT *, strpos(response, '{rules.INGREDIENT_HEADER}') AS a, strpos(response, '{rules.STEP_HEADER}') AS b FROM v),
-    s AS (SELECT i, response[a:b - 1] AS x, response[b:b + {_ENDS} - 1] AS y FROM p WHERE a > 0 AND b > a),
+    f"""WITH v AS ({_READINGS.replace("{orders}", "orders")}), p AS (SELECT *, strpos(response, '{rules.INGREDIENT_HEADER}') AS a, strpos(response, '{rules.STEP_HEADER}') AS b FROM v),
+    s AS (SELECT reading_id AS i, response[a:b - 1] AS x, response[b:b + {_ENDS} - 1] AS y FROM p WHERE a > 0 AND b > a),
     f AS (SELECT i, list_distinct(regexp_extract_all(x, {quote(_FRACTIONS)}, 1)) AS x, list_distinct(regexp_extract_all(y, {quote(_FRACTIONS)}, 1)) AS y FROM s)
     SELECT i AS reading_id, unnest(list_filter(y, lambda q: NOT list_contains(x, q))) AS fraction, 'steps' AS side FROM f
     UNION ALL SELECT i, unnest(list_filter(x, lambda q: NOT list_contains(y, q))), 'ingredients' FROM f WHERE len(y) > 0"""
 )
 def fraction_disagreement(spark, sf_dir):
-    return extraction.disagreements(values(spark, "response", READINGS).withColumnRenamed("i", "reading_id"))
+    return extraction.disagreements(from_sql(spark, _READINGS, orders=table(spark, sf_dir, "orders")))
 
 
-VOTES = [(0, 0, "bad 1/3 cup {"), (0, 1, '1/2 cup [{"a": 1}]'), (0, 2, 'x 1/3 cup {"a": 2}'), (0, 3, '1/3 cup 1/2 cup {"a": 3} tail'), (1, 0, "no"), (2, 0, '1/4 cup {"b": 1}'), (2, 1, '1/8 cup {"b": 2}')]
+#: The lines of an order as votes on its reading: a fraction or two, and JSON that may be broken.
+_VOTES = """SELECT l_orderkey AS reading_id, l_linenumber * 100000000000 + l_partkey * 10000 + l_suppkey AS pos, concat(CASE WHEN l_linenumber % 4 = 0 THEN 'no amount ' ELSE concat('1/', CAST(l_partkey % 3 + 2 AS STRING), ' cup ') END,
+    CASE WHEN l_suppkey % 3 = 0 THEN concat('2/', CAST(l_suppkey % 5 + 3 AS STRING), ' Cups ') ELSE '' END, '{"a": ', CAST(l_partkey AS STRING), CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '} tail' ELSE '}' END) AS response FROM {lineitem}"""
+_GOOD = """regexp_matches(response, '[}]$')"""
 
 
 @query(
-    "SELECT * FROM (VALUES (0, '1/3', CAST(2 AS INTEGER), '{\"a\": 2}'), (1, NULL, NULL, '{\"first\": 1}'), (2, '1/4', 0, '{\"b\": 1}')) AS t(reading_id, winner, vote, json)"
+    f"""WITH v AS ({_VOTES.replace("{lineitem}", "lineitem")}), f AS (SELECT reading_id, pos, generate_subscripts(x, 1) AS i, unnest(x) AS fraction FROM (SELECT reading_id, pos, regexp_extract_all(response, '(?i)(\\d+/\\d+)\\s*cup', 1) AS x FROM v)),
+    n AS (SELECT reading_id, fraction, count(*) AS n, min(pos * 10 + i) AS first FROM f GROUP BY ALL), w AS (SELECT reading_id, arg_max(fraction, [n, -first]) AS winner FROM n GROUP BY 1),
+    g AS (SELECT reading_id, min(pos) AS vote, arg_min(response, pos) AS taken FROM v JOIN w USING (reading_id) WHERE contains(response, winner) AND {_GOOD} GROUP BY 1)
+    SELECT o_orderkey AS reading_id, winner, vote, CASE WHEN taken IS NULL THEN '{{"first": ' || o_orderkey || '}}' ELSE taken[strpos(taken, '{{'):] END AS json
+    FROM orders LEFT JOIN w ON w.reading_id = o_orderkey LEFT JOIN g ON g.reading_id = o_orderkey"""
 )
 def fraction_vote(spark, sf_dir):
-    initial = spark.createDataFrame([(i, '{"first": %d}' % i) for i in range(3)], "reading_id int, response string")
-    return extraction.vote(initial, spark.createDataFrame(VOTES, "reading_id int, pos int, response string"))
+    initial = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reading_id"), F.concat(F.lit('{"first": '), F.col("o_orderkey").cast("string"), F.lit("}")).alias("response"))
+    return extraction.vote(initial, from_sql(spark, _VOTES, lineitem=table(spark, sf_dir, "lineitem")))
 
 
-INSTRUCTIONS = ["Step 1: Mix.\n\n Step 2. Bake \n-- Glaze --", "1.) " + "stir well and wait " * 5 + " 2.) serve it warm with bread", "short", None]
+#: Instructions of every order: lines, one long line with numbers, a short line, none.
+_INSTRUCTIONS = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN concat('Step 1: Mix ', o_orderpriority, '.', chr(10), chr(10), ' step 2. Bake it ', chr(10), '-- Glaze --', chr(10), '--- Top', chr(10), ' ')
+    WHEN 1 THEN concat('1.) ', repeat('stir well and wait ', CAST(o_custkey % 4 + 3 AS INT)), ' 2.) serve it warm STEP 3: rest and Step  4 eat ', o_orderpriority, repeat(' slowly', 9)) WHEN 2 THEN concat('Step 1: short ', o_orderstatus)
+    WHEN 3 THEN NULL ELSE concat(o_orderpriority, ' Step 7', chr(10), 'Step 8:  do') END AS instructions FROM {orders}"""
 
 
-@query(None)
+@query(
+    f"""WITH v AS (SELECT id, instructions, list_filter(string_split(instructions, chr(10)), lambda x: trim(x) <> '') AS lines,
+    list_filter(string_split(regexp_replace(instructions, '(?i)(\\d+\\.\\)|Step\\s+\\d+)', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x) <> '') AS parts FROM ({_INSTRUCTIONS.replace("{orders}", "orders")}) WHERE instructions IS NOT NULL),
+    c AS (SELECT id, CASE WHEN len(lines) <= 1 AND length(instructions) > 100 THEN parts ELSE lines END AS lines FROM v),
+    l AS (SELECT id, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS pos, regexp_replace(trim(unnest(lines), ' ' || chr(10)), '(?i)^Step\\s+(\\d+)[:.]\\s*', '\\1.) ') AS line FROM c)
+    SELECT *, nullif(regexp_extract(line, '^-{{2,}}\\s*(.+?)\\s*-{{2,}}$', 1), '') AS section FROM l"""
+)
 def instruction_split(spark, sf_dir):
-    rows = values(spark, "instructions", INSTRUCTIONS).select("i", F.posexplode(text.instruction_lines(F.col("instructions"))).alias("pos", "line"))
+    rows = from_sql(spark, _INSTRUCTIONS, orders=table(spark, sf_dir, "orders")).select("id", F.posexplode(text.instruction_lines(F.col("instructions"))).alias("pos", "line"))
     return rows.withColumn("section", text.section_title(F.col("line")))
 
 
+#: Replies as they come: in fences, after a preamble, with a tail, as a list, or no JSON at all.
+_REPLIES = """SELECT event_id, props AS body, CASE event_id % 8 WHEN 0 THEN concat('```json', chr(10), props, chr(10), '```') WHEN 1 THEN concat('Here it is: ', props) WHEN 2 THEN concat(props, ' and a tail') WHEN 3 THEN concat('[', props, ', ', props, ']')
+    WHEN 4 THEN concat('Sure.', chr(10), '```', chr(10), props, chr(10), '```', chr(10), 'bye') WHEN 5 THEN 'no JSON' WHEN 6 THEN concat(chr(10), props, '  ') ELSE concat('{', props) END AS response FROM {events}"""
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN event_id % 8 IN (2, 5, 7) THEN 0 WHEN event_id % 8 = 3 THEN 2 ELSE 1 END AS n, CASE WHEN event_id % 8 NOT IN (2, 5, 7) THEN CAST(json_extract_string(body, '$.k') AS BIGINT) END AS k,
+    CASE WHEN event_id % 8 IN (2, 5, 7) THEN 'could not be parsed' END AS error, CASE event_id % 8 WHEN 0 THEN body ELSE trim(response, ' ' || chr(10)) END AS unfenced, '{{' || response AS prefilled
+    FROM ({_REPLIES.replace("{events}", "events")})"""
+)
+def reply_json(spark, sf_dir):
+    """Fences of both kinds, preambles, tails and lone objects; the strict parse and its errors."""
+    rows = extraction.parsed(from_sql(spark, _REPLIES, events=table(spark, sf_dir, "events")), "struct<k:bigint>")
+    n = F.coalesce(F.size("value"), F.lit(0))
+    return rows.select(
+        "event_id", F.when(n > 0, n).otherwise(0).alias("n"), F.get("value", n - 1)["k"].alias("k"), "error", extract.leading_fence(F.col("response")).alias("unfenced"), forms.prefilled(F.col("response")).alias("prefilled")
+    )
+
+
 # Forms and selections
 
 
@@ -588,6 +638,136 @@ def set_level(spark, sf_dir):
     return changes.set_field(items, items.where("id % 11 = 0"), "quantity_level", F.lit("Full"))
 
 
+@query(with_("zones") + " SELECT id, name FROM zones WHERE id = 7 AND storage_area_id = 3")
+def zone_of_area(spark, sf_dir):
+    return catalog.zone_of_area(relation(spark, sf_dir, "zones"), 3, 7).select("id", "name")
+
+
+@query(with_("zones") + " SELECT id, CASE WHEN position_order = 0 THEN CAST(id AS INTEGER) ELSE position_order END AS position_order FROM zones")
+def zone_positions(spark, sf_dir):
+    return catalog.with_positions(relation(spark, sf_dir, "zones"), F.col("id").cast("int")).select("id", "position_order")
+
+
+@query(
+    r"""SELECT c_custkey AS id, replace(replace(replace(concat('<', c_name, ' & ', c_mktsegment, '>'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, replace(concat(c_mktsegment, '_x'), '_', ' ') AS label,
+    CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey % 101 AS DOUBLE) ELSE 50.0 END AS percent, greatest(0.0, least(100.0, CAST(c_acctbal AS DOUBLE))) AS clamped, CASE WHEN c_custkey % 2 <> 1 THEN 's' ELSE '' END AS plural,
+    coalesce(c_mktsegment IN ('BUILDING', 'MACHINERY'), false) AS doubtful, floor(CAST(c_acctbal AS DOUBLE) + 0.5) AS half_up, nullif(trim(CASE WHEN c_custkey % 4 = 0 THEN '  ' ELSE concat(' ', c_name) END), '') AS required,
+    CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE c_custkey % 5 END AS servings FROM customer"""
+)
+def text_helpers(spark, sf_dir):
+    """Escapes, labels, positions, clamps, plurals, flags, rounding half up, required texts and integers with a default."""
+    rows, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    position = F.when(key % 3 == 0, F.concat(F.lit("center "), (key % 101).cast("string"), F.lit("%"))).when(key % 3 == 1, "center")
+    confidence = F.when(F.col("c_mktsegment") == "BUILDING", "low").when(F.col("c_mktsegment") == "MACHINERY", "medium").when(F.col("c_mktsegment") == "FURNITURE", "high")
+    servings = F.when(key % 5 == 0, F.when(key % 2 == 0, "0").otherwise("many")).otherwise(F.concat(F.lit(" "), (key % 5).cast("string"), F.lit("x")))
+    return rows.select(
+        key.alias("id"), text.escape_html(F.concat(F.lit("<"), "c_name", F.lit(" & "), "c_mktsegment", F.lit(">"))).alias("escaped"), text.label(F.concat("c_mktsegment", F.lit("_x"))).alias("label"),
+        text.position_percent(position).alias("percent"), text.clamp_percent(F.col("c_acctbal").cast("double")).alias("clamped"), text.plural(key % 2).alias("plural"), text.doubtful(confidence).alias("doubtful"),
+        amounts.half_up(F.col("c_acctbal").cast("double")).cast("double").alias("half_up"), forms.required(F.when(key % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_name"))).alias("required"), text.int_or(servings, 2).cast("bigint").alias("servings"),
+    )
+
+
+@query(
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts, '%b %-d, %Y') AS day, strftime(ts, '%Y%m%d_%H%M%S') || '_' || md5(CAST(event_id AS VARCHAR))[:6] || CASE event_type WHEN 'click' THEN '.png' WHEN 'view' THEN '.webp' ELSE '.jpg' END AS picture,
+    CASE event_type WHEN 'click' THEN 'image/png' WHEN 'view' THEN 'image/webp' ELSE 'image/jpeg' END AS kind, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","none":null}' AS json FROM events"""
+)
+def picture_names(spark, sf_dir):
+    """Moments as text, names and types of pictures, and rows as JSON."""
+    events, kind = table(spark, sf_dir, "events"), F.when(F.col("event_type") == "click", "image/png").when(F.col("event_type") == "view", "image/webp").otherwise("text/html")
+    named = events.withColumn("picture", media.picture_name(F.col("ts"), F.col("event_id").cast("string"), extract.image_suffix(kind))).withColumn("none", F.lit(None).cast("string"))
+    return named.select(
+        "event_id", dates.iso(F.col("ts")).alias("iso"), dates.local_date(F.col("ts")).alias("day"), "picture", extract.media_type(F.upper("picture")).alias("kind"),
+        media.json_row("event_id", "event_type", "none").alias("json"),
+    )
+
+
+@query(
+    with_("items")
+    + """ SELECT zone_id, coalesce(array_to_string(list(CASE WHEN id % 3 = 0 THEN NULL ELSE p || ':' || trim(name) END ORDER BY p), ';'), '') AS filled, CAST(count(*) FILTER (id % 3 <> 0) AS BIGINT) AS n_filled
+    FROM (SELECT zone_id, id, name, row_number() OVER (PARTITION BY zone_id ORDER BY id) - 1 AS p FROM items) GROUP BY 1"""
+)
+def form_rows(spark, sf_dir):
+    """The filled rows of a form, with their places among all rows."""
+    name = F.when(F.col("id") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "name"))
+    forms_ = relation(spark, sf_dir, "items").groupBy("zone_id").agg(F.array_sort(F.collect_list(F.struct("id", name.alias("name")))).alias("rows"))
+    filled = forms_.select("zone_id", forms.form_rows(F.transform("rows", lambda r: r["name"])).alias("f"))
+    return filled.select("zone_id", F.array_join(F.transform("f", lambda r: F.concat_ws(":", r["order"].cast("string"), r["name"])), ";").alias("filled"), F.size("f").cast("bigint").alias("n_filled"))
+
+
+@query(
+    with_("recipes")
+    + """ SELECT id, CASE WHEN id % 3 = 0 THEN 'dinner' WHEN id % 3 = 1 THEN meal_type END AS meal_type, array_to_string(CASE WHEN id % 4 < 2 THEN [CAST(x AS VARCHAR) FOR x IN [0, 1] IF x <> id % 4] ELSE ['0', '1', CAST(id % 4 AS VARCHAR)] END, ',') AS toggled,
+    id % 4 < 2 AS selected FROM recipes"""
+)
+def selections(spark, sf_dir):
+    """A default for an absent key only, and a selection with a key added or taken out."""
+    data = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("title"), F.col("title"))).otherwise(F.create_map(F.lit("meal_type"), F.when(F.col("id") % 3 == 1, F.col("meal_type"))))
+    chosen, key = F.array(F.lit(0), F.lit(1)), (F.col("id") % 4).cast("int")
+    return relation(spark, sf_dir, "recipes").select(
+        "id", F.try_element_at(forms.default_key(data, "meal_type", "dinner"), F.lit("meal_type")).alias("meal_type"), F.array_join(forms.toggled(chosen, key).cast("array<string>"), ",").alias("toggled"), F.array_contains(chosen, key).alias("selected")
+    )
+
+
+# Rows made of drafts
+
+_DRAFTS = "SELECT CASE WHEN id % 6 = 0 THEN ' ' ELSE concat(' ', name, ' ') END AS name, CASE WHEN id % 4 = 0 THEN '' ELSE category END AS category, CASE WHEN id % 2 = 0 THEN quantity_level END AS quantity_level FROM {items}"
+
+
+@query(with_("items") + f", d AS ({_DRAFTS.replace('{items}', 'items')}) SELECT trim(name) AS name, nullif(category, '') AS category, quantity_level, 'Pantry' AS storage_location, CAST(7 AS BIGINT) AS zone_id FROM d WHERE trim(name) <> ''")
+def draft_rows(spark, sf_dir):
+    """Drafts with a name as rows, with the constants of their zone."""
+    rows = changes.draft_rows(from_sql(spark, _DRAFTS, items=relation(spark, sf_dir, "items")))
+    return changes.with_constants(rows, storage_location=F.lit("Pantry"), zone_id=F.lit(7).cast("bigint"))
+
+
+@query(
+    with_("items", "actions")
+    + f""" SELECT id, name, storage_location, category, quantity_level, TIMESTAMP '{_MADE_AT}' AS created_at, TIMESTAMP '{_MADE_AT}' AS updated_at FROM items
+    UNION ALL SELECT 10000000 + pos, name, 'Pantry', NULL, quantity_level, TIMESTAMP '{NOW}', TIMESTAMP '{NOW}' FROM actions WHERE action = 'create'"""
+)
+def bulk_insert(spark, sf_dir):
+    items = relation(spark, sf_dir, "items").select("id", "name", "storage_location", "category", "quantity_level").withColumns({c: F.lit(_MADE_AT).cast("timestamp") for c in ("created_at", "updated_at")})
+    new = relation(spark, sf_dir, "actions").where("action = 'create'").select((F.col("pos") + 10_000_000).alias("id"), "name", "quantity_level")
+    return changes.insert(items, new, {"storage_location": "Pantry"}, F.lit(NOW).cast("timestamp"))
+
+
+@query(
+    with_("recipes")
+    + f""" SELECT id, title, meal_type, CAST(CASE WHEN id % 2 = 0 THEN servings ELSE 2 END AS INTEGER) AS servings, 'center' AS dish_photo_position, CAST(NULL AS INTEGER) AS rating_first, TIMESTAMP '{NOW}' AS created_at FROM recipes WHERE id % 2 = 0
+    UNION ALL SELECT id, title, meal_type, 2, NULL, NULL, TIMESTAMP '{NOW}' FROM recipes WHERE id % 2 = 1"""
+)
+def create_recipes(spark, sf_dir):
+    """Half of the recipes held, the other half made: what a new one never keeps is left at its default."""
+    recipes, now = relation(spark, sf_dir, "recipes"), F.lit(NOW).cast("timestamp")
+    held = recipes.where("id % 2 = 0").select("id", "title", "meal_type", "servings", F.lit("center").alias("dish_photo_position"), F.lit(None).cast("int").alias("rating_first"), now.alias("created_at"))
+    new = recipes.where("id % 2 = 1").select("id", "title", "meal_type", F.lit("top").alias("dish_photo_position"), F.lit(9).alias("rating_first"))
+    return changes.create_recipes(held, new, DEFAULTS, now)
+
+
+@query(
+    """SELECT CAST(n_regionkey AS BIGINT) AS area_id, n_name AS name, CAST(CASE WHEN n_nationkey % 4 = 0 THEN p ELSE n_nationkey % 4 END AS INTEGER) AS position_order, CASE WHEN n_nationkey % 3 = 0 THEN '[]' ELSE '["' || n_name || '","x"]' END AS typical_categories,
+    '[]' AS typical_container_types FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS p FROM nation)"""
+)
+def zone_rows(spark, sf_dir):
+    """Drafts of zones by area as rows, their lists as JSON text."""
+    key, none = F.col("n_nationkey"), F.lit(None).cast("array<string>")
+    zone = F.struct(key.alias("k"), F.col("n_name").alias("name"), (key % 4).cast("int").alias("position_order"), F.when(key % 3 != 0, F.array("n_name", F.lit("x"))).alias("typical_categories"), none.alias("typical_container_types"))
+    drafts = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("area_id")).agg(F.array_sort(F.collect_list(zone)).alias("zones"))
+    return changes.zone_rows(drafts).drop("k")
+
+
+@query(
+    with_("zones")
+    + """ SELECT id, CASE WHEN id % 3 = 1 THEN 'changed' ELSE name END AS name, CASE WHEN id % 3 = 1 THEN '["' || name || '"]' ELSE '[]' END AS typical_categories FROM zones"""
+)
+def zone_update(spark, sf_dir):
+    """Zones of their own area are changed, lists as JSON text; a patch under another area does nothing."""
+    zones = relation(spark, sf_dir, "zones").withColumn("typical_categories", F.lit("[]"))
+    area = F.when(F.col("id") % 3 == 1, F.col("storage_area_id")).otherwise(F.col("storage_area_id") + 1)
+    patch = zones.where("id % 3 > 0").select("id", area.alias("storage_area_id"), F.create_map(F.lit("name"), F.lit("changed")).alias("plain"), F.create_map(F.lit("typical_categories"), F.array("name")).alias("lists"))
+    return changes.update_zones(zones, patch, ["name", "typical_categories"]).select("id", "name", "typical_categories")
+
+
 # Extension: time windows
 
 

@@ -20,6 +20,11 @@ def picture_name(moment: Column, unique: Column, suffix: Column) -> Column:
     return F.concat(file_stamp(moment), F.lit("_"), F.substring(F.md5(unique.cast("binary")), 1, 6), suffix)
 
 
+def json_row(*columns: str) -> Column:
+    """Columns as one JSON text, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def to_json_rows(df: DataFrame) -> DataFrame:
     """Each row as one JSON text, nulls included."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return df.select(json_row(*df.columns).alias("json"))
