@@ -3,23 +3,28 @@
 A softmax regression with an L1 penalty over words and pairs of words is fitted on the
 driver to a table of licence notices and of other sentences (some of which talk of
 licences, permissions or people named Apache). A temperature fitted to notices that were
-kept out calibrates its probabilities; "unknown" is a class like the others. On the
-cluster a paragraph's words are looked up in a bitmap of the words that some weight hangs
-on; only where one is found are weights added up. A predicted family is confirmed when
-most word triples of one of its notices are in the paragraph. A line that isn't confirmed
-alone is scored again among the lines around it, up to the next blank ones: a notice that
-is wrapped over several lines, with or without comment signs, confirms each of its lines
-that has triples of it.
-
-The scan is one narrow pass: no shuffle, no join and no Python, however skewed the input.
-
-A paragraph is a line. A null text has none. A very long line is one paragraph. Repeated
-rows and null doc_ids give their findings as often as they come; documents without
-findings give no row; other columns are ignored, and an empty table gives an empty table.
+kept out calibrates its probabilities; "unknown" is a class like the others.
+
+A paragraph is a run of lines between blank ones (a line of comment signs alone is blank).
+Its passages are scored: each of its lines, and, of its words whatever the lines, windows
+twice as long as the longest notice that overlap by half, so that every notice lies whole in
+one, however it is wrapped. Words are runs of a-z and numbers, so comment signs don't count.
+A predicted family is confirmed when most word triples of one of its notices are in the
+passage. A paragraph has a row for each family that a passage is predicted to be, with the
+passage that is most like one of the family's notices.
+
+Only paragraphs with a word without which every passage is unknown are scored. The scan is one narrow
+pass: no shuffle, no join and no Python, however skewed the input.
+
+A null text has no paragraph. Texts and paragraphs of any length work. Repeated rows and
+null doc_ids give their findings as often as they come; documents without findings give no
+row; other columns are ignored, and an empty table gives an empty table. The negatives of the
+training table are sentences written for it and strings of frequent words of four languages.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import zlib
@@ -33,10 +38,10 @@ from pyspark.sql import functions as F
 from . import common
 
 UNKNOWN = "unknown"
-#: A line that is unknown with less than this probability (0.95 without any known word) is scored among its neighbours.
-DOUBT = 0.9
-#: Bits of the table of words; a prediction needs this probability; a notice is met with this share of its triples.
-TABLE_BITS, LEAST, SHARE = 1 << 16, 0.5, 0.8
+#: A prediction needs this probability; a notice is met with this share of its triples; slots of the table of weights.
+LEAST, SHARE, SLOTS = 0.5, 0.8, 1 << 12
+#: What lies between paragraphs (both for Spark and for DuckDB).
+BETWEEN = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 
 # Names of licences and usual notices, by family. 0 stands for any number.
 NAMES = {
@@ -201,90 +206,80 @@ def templates() -> dict[str, list[list[str]]]:
     return {f: [_triples(t) for t in NOTICES[f] + framed.get(f, [])] for f in NOTICES}
 
 
-#: Words of the longest notice: so many words, and lines, on either side of a line can belong to its notice.
+#: Words of the longest notice. A passage has twice as many, and the next begins so many later.
 LONGEST = max(len(words_of(t)) for ts in NOTICES.values() for t in ts)
 
 
-def _doubles(values: list[float]):
-    return F.array(*[F.lit(float(v)) for v in values])
+def triggers(model: Model) -> list[str]:
+    """Words of which every passage that isn't unknown has one.
+
+    A gram speaks for a family by what it adds to the family's sum over unknown's. Of the
+    grams that speak for some family the weakest are left out while, for every family, all
+    that they could add together stays below unknown's head start; of each of the others a
+    word is kept. A passage without any of these words is unknown whatever else it holds.
+    """
+    lead = np.array(model.start[-1]) - np.array(model.start[:-1])
+    speaks = {g: np.maximum(np.array(w[:-1]) - w[-1], 0) for g, w in model.weights.items()}
+    left, kept = np.zeros(len(lead)), set()
+    for gram, more in sorted(speaks.items(), key=lambda x: (float(x[1].max()), x[0])):
+        if (left + more < lead - 1e-6).all():
+            left = left + more
+            continue
+        words = [w for w in gram.split() if w not in _STOP]
+        if not kept & set(words):
+            kept.add(max(words, key=lambda w: (len(w), w)))
+    return sorted(kept)
+
+
+def _constant(value, kind: str):
+    """A nested constant, which the optimiser folds into a literal."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, similarity, confirmed of each licence paragraph."""
+    """doc_id, paragraph (its place from 0), family, probability, similarity, confirmed of each licence paragraph and family."""
     model = model or train()
-    bits = np.zeros(TABLE_BITS, bool)
-    for gram in model.weights:
-        for word in gram.split():
-            if word not in _STOP:
-                bits[zlib.crc32(word.encode()) % TABLE_BITS] = True
-    # arrays of constants, which the optimiser folds into one
-    table = F.array(*[F.lit(int(v)).cast("bigint") for v in np.packbits(bits.reshape(-1, 32), axis=1, bitorder="little").view("<u4").ravel()])
-    weights = F.create_map(*[x for gram, w in model.weights.items() for x in (F.lit(gram), _doubles(w))])
-    names = F.array(*[F.lit(c) for c in model.classes])
-    spelled = F.create_map(*[F.lit(x) for f, ts in templates().items() for x in (f, ";".join(",".join(t) for t in ts))])
-
-    def known(word):
-        h = F.crc32(word.cast("binary")) % TABLE_BITS
-        return F.get(table, F.shiftright(h, 5).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (h % 32).cast("int"))) != 0
+    known = _constant(triggers(model), "array<string>")
+    slots: list[list[dict]] = [[] for _ in range(SLOTS)]
+    for gram, w in model.weights.items():
+        slots[zlib.crc32(gram.encode()) % SLOTS].append({"g": gram, "w": w})
+    table = _constant(slots, "array<array<struct<g:string,w:array<double>>>>")
+    names, start = _constant(model.classes, "array<string>"), _constant(model.start, "array<double>")
+    spelled = _constant(templates(), "map<string,array<array<string>>>")
+
+    def words(text):
+        # numbers become 0 and everything else but a-z a gap, as in words_of
+        return F.array_remove(F.split(F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", " 0 "), "[^a-z0]+", " "), " "), "")
+
+    def passages(paragraph):
+        """The words of each line and window."""
+        size, step = 2 * LONGEST, LONGEST
+        lines = F.filter(F.transform(F.split(paragraph, "\n"), words), lambda w: F.size(w) <= size)
+
+        def windows(w):
+            last = F.greatest(F.ceil((F.size(w) - size) / step), F.lit(0)).cast("int")
+            return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * step + 1, F.lit(size)))
+
+        wide = F.when(paragraph.contains("\n") | (F.length(paragraph) > size), F.flatten(F.transform(F.array(words(paragraph)), windows))).otherwise(F.array().cast("array<array<string>>"))
+        return F.filter(F.array_distinct(F.concat(lines, wide)), lambda w: F.arrays_overlap(w, known))
 
     def grams(w):
-        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: known(F.get(w, i)))
-        around = F.transform(at, lambda i: F.array(F.get(w, i), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)), F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
-        return F.array_distinct(F.flatten(around))
+        pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+        return F.array_distinct(F.concat(w, pairs))
 
-    def logits(g):
-        return F.aggregate(g, _doubles(model.start), lambda total, x: F.coalesce(F.zip_with(total, F.try_element_at(weights, x), lambda a, b: a + b), total))
+    def logits(w):
+        def add(total, gram):
+            hit = F.filter(F.get(table, (F.crc32(gram.cast("binary")) % SLOTS).cast("int")), lambda e: e["g"] == gram)
+            return F.aggregate(hit, total, lambda t, e: F.zip_with(t, e["w"], lambda x, y: x + y))
+
+        return F.aggregate(grams(w), start, add)
 
     def triples(w):
         return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(3)), " "))
 
-    def notices(family):
-        return F.transform(F.split(F.try_element_at(spelled, family), ";"), lambda t: F.split(t, ","))
-
-    def similarity(w, family):
-        return F.array_max(F.transform(notices(family), lambda t: F.size(F.array_intersect(t, triples(w))) / F.size(t)))
-
-    # numbers become 0 and everything else but a-z a gap, as in words_of
-    def spaced(line):
-        return F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", " 0 "), "[^a-z0]+", " ")), " ")
-
-    def probability(z, of):
-        top = F.array_max(z)
-        return F.round(F.exp((of - top) / model.temperature) / F.aggregate(z, F.lit(0.0), lambda t, v: t + F.exp((v - top) / model.temperature)), 4)
-
-    def around(s, lines, at):
-        """What a line that isn't confirmed is among its neighbours; an array of one element, or none."""
-        # blank lines, but for comment signs, are empty: two line feeds end a run
-        run = lambda some: F.array_join(F.transform(some, lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), x).otherwise("")), "\n")
-        before = F.substring_index(F.concat(run(F.slice(lines, F.greatest(at - LONGEST, F.lit(0)) + 1, F.least(at, F.lit(LONGEST)))), F.lit("\n")), "\n\n", -1)
-        after = F.substring_index(F.concat(F.lit("\n"), run(F.slice(lines, at + 2, F.lit(LONGEST)))), "\n\n", 1)
-        some = lambda text: F.filter(spaced(text), lambda w: w != "")
-        last = lambda w: F.slice(w, F.greatest(F.size(w) - LONGEST, F.lit(0)) + 1, F.lit(LONGEST))
-        sides = F.array(F.struct(F.transform(F.array(some(before)), last)[0].alias("b"), F.slice(some(after), 1, LONGEST).alias("a")))
-        wide = F.transform(sides, lambda x: F.struct(F.concat(x["b"], s["w"], x["a"]).alias("w"), F.array_union(triples(x["b"]), triples(x["a"])).alias("others")))
-        seen = F.transform(wide, lambda x: F.struct(triples(x["w"]).alias("all"), x["others"].alias("others"), logits(grams(x["w"])).alias("z")))
-
-        def tried(x):
-            best = F.get(names, (F.array_position(x["z"], F.array_max(x["z"])) - 1).cast("int"))
-
-            def of(family):
-                # the line counts only for notices that have triples of it
-                touched = F.filter(notices(family), lambda t: F.size(F.array_intersect(t, x["all"])) > F.size(F.array_intersect(t, x["others"])))
-                share = F.array_max(F.transform(touched, lambda t: F.size(F.array_intersect(t, x["all"])) / F.size(t)))
-                own = F.when(family == s["family"], s["probability"])
-                return F.struct(family.alias("family"), F.greatest(own, probability(x["z"], F.get(x["z"], (F.array_position(names, family) - 1).cast("int")))).alias("probability"), F.round(share, 4).alias("similarity"))
-
-            return F.transform(F.array_distinct(F.filter(F.array(s["family"], best), lambda f: f != UNKNOWN)), of)
-
-        held = F.filter(F.flatten(F.transform(seen, tried)), lambda c: (c["similarity"] >= SHARE) & (c["probability"] >= LEAST))
-        return F.slice(held, 1, 1)
-
-    # Each step maps an array of one element, or none once a line has dropped out: a value
-    # that a later step uses twice is then computed once, whatever the optimiser inlines.
-    def findings(line, lines, at):
-        rough = F.filter(F.array(F.split(F.lower(line), "[^a-z]+")), lambda r: F.exists(r, known))
-        exact = F.transform(rough, lambda _: spaced(line))
-        scored = F.transform(exact, lambda w: F.struct(w.alias("w"), logits(grams(w)).alias("z")))
+    # Each step maps an array, so what a later step uses twice is computed once.
+    def findings(paragraph):
+        scored = F.transform(passages(paragraph), lambda w: F.struct(w.alias("w"), logits(w).alias("z")))
         topped = F.transform(scored, lambda s: F.struct(s["w"].alias("w"), s["z"].alias("z"), F.array_max(s["z"]).alias("top")))
         guessed = F.transform(
             topped,
@@ -292,25 +287,28 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 s["w"].alias("w"),
                 F.get(names, (F.array_position(s["z"], s["top"]) - 1).cast("int")).alias("family"),
                 F.round(1 / F.aggregate(s["z"], F.lit(0.0), lambda t, v: t + F.exp((v - s["top"]) / model.temperature)), 4).alias("probability"),
-                probability(s["z"], F.get(s["z"], len(model.classes) - 1)).alias("unknown"),
             ),
         )
-        found = F.filter(guessed, lambda s: (s["family"] != UNKNOWN) | (s["unknown"] < DOUBT))
-        alone = F.transform(found, lambda s: F.struct(s["w"].alias("w"), s["family"].alias("family"), s["probability"].alias("probability"), F.round(similarity(s["w"], s["family"]), 4).alias("similarity")))
-        among = F.transform(alone, lambda s: F.struct(s.alias("s"), F.when((s["similarity"] >= SHARE) & (s["probability"] >= LEAST), F.slice(F.array(_found(s)), 1, 0)).otherwise(around(s, lines, at)).alias("more")))
-        settled = F.transform(among, lambda x: F.coalesce(F.get(x["more"], F.lit(0)), _found(x["s"])))
-        kept = F.filter(settled, lambda c: (c["family"] != UNKNOWN) & (c["probability"] >= LEAST))
-        return F.transform(kept, lambda c: F.struct(at.cast("long").alias("paragraph"), c["family"].alias("family"), c["probability"].alias("probability"), c["similarity"].alias("similarity")))
-
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    # the lines stay in their row, so that each can see its neighbours without a copy of the text
-    each = F.transform(F.array(F.split("text", "\n")), lambda lines: F.flatten(F.transform(lines, lambda line, at: findings(line, lines, at))))
-    hits = rows.select("doc_id", F.inline(F.flatten(each)))
-    return hits.select("*", (F.col("similarity") >= SHARE).alias("confirmed"))
-
-
-def _found(s):
-    return F.struct(s["family"].alias("family"), s["probability"].alias("probability"), s["similarity"].alias("similarity"))
+        sure = F.filter(guessed, lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= LEAST))
+        cut = F.transform(sure, lambda s: F.struct(s["family"].alias("family"), triples(s["w"]).alias("t"), s["probability"].alias("probability")))
+
+        def compared(s):
+            shares = F.transform(F.try_element_at(spelled, s["family"]), lambda n: F.size(F.array_intersect(n, s["t"])) / F.size(n))
+            return F.struct(s["family"].alias("family"), F.round(F.array_max(shares), 4).alias("similarity"), s["probability"].alias("probability"))
+
+        # of each family the passage that is most like a notice, of equals the likeliest
+        def best(found):
+            return F.filter(found, lambda x, i: ~x["family"].eqNullSafe(F.get(found, i + 1)["family"]))
+
+        return F.flatten(F.transform(F.array(F.array_sort(F.transform(cut, compared))), best))
+
+    def hot(text):
+        return F.arrays_overlap(F.split(F.lower(text), "[^a-z]+"), known)
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where(hot(F.col("text")))
+    parts = rows.select("doc_id", F.posexplode(F.split("text", BETWEEN)).alias("paragraph", "text")).where(hot(F.col("text")))
+    hits = parts.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.inline(findings(F.col("text"))))
+    return hits.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= SHARE).alias("confirmed"))
 
 
 def predict(text: str, model: Model | None = None) -> tuple[str, float]:

@@ -37,24 +37,28 @@ def licences() -> str:
     """The trained licence model as tables of constants, and its sums and comparisons."""
     from . import licences as scan
 
-    model = scan.train()
+    model, size, step = scan.train(), 2 * scan.LONGEST, scan.LONGEST
     weights = ", ".join(f"({_text(g)}, {k}, {v})" for g, w in model.weights.items() for k, v in enumerate(w) if v)
     classes = ", ".join(f"({k}, {_text(c)}, {s})" for k, (c, s) in enumerate(zip(model.classes, model.start, strict=True)))
     notices = ", ".join(f"({_text(f)}, {_text(','.join(t))})" for f, ts in scan.templates().items() for t in ts)
     return rf"""
 WITH weights(gram, k, v) AS (VALUES {weights}), classes(k, family, start) AS (VALUES {classes}), notices(family, t) AS (VALUES {notices}),
-lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS paragraph, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-w AS (SELECT doc_id, paragraph, string_split(trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', ' 0 ', 'g'), '[^a-z0]+', ' ', 'g')), ' ') AS w FROM lines),
-g AS (SELECT doc_id, paragraph, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS gram FROM w),
-s AS (SELECT doc_id, paragraph, k, sum(v) AS v FROM g JOIN weights USING (gram) GROUP BY ALL),
-z AS (SELECT p.doc_id, p.paragraph, c.family, c.start + coalesce(s.v, 0) AS z FROM (SELECT DISTINCT doc_id, paragraph FROM s) p CROSS JOIN classes c
-    LEFT JOIN s ON s.doc_id = p.doc_id AND s.paragraph = p.paragraph AND s.k = c.k),
-b AS (SELECT doc_id, paragraph, arg_max(family, z) AS family, max(z) AS top FROM z GROUP BY ALL),
-p AS (SELECT b.doc_id, b.paragraph, b.family, round(1 / sum(exp((z.z - top) / {model.temperature})), 4) AS probability FROM b JOIN z ON z.doc_id = b.doc_id AND z.paragraph = b.paragraph GROUP BY ALL),
-t AS (SELECT p.*, list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS triples
-    FROM p JOIN w ON w.doc_id = p.doc_id AND w.paragraph = p.paragraph WHERE p.family <> '{scan.UNKNOWN}' AND probability >= {scan.LEAST}),
-m AS (SELECT t.doc_id, t.paragraph, t.family, t.probability,
+paragraphs AS (SELECT row, doc_id, generate_subscripts(p, 1) - 1 AS paragraph, unnest(p) AS p FROM (SELECT row_number() OVER () AS row, doc_id, string_split_regex(text, '{scan.BETWEEN}') AS p FROM documents)),
+lines AS (SELECT row, doc_id, paragraph, unnest(string_split(p, chr(10))) AS line, true AS own FROM paragraphs UNION ALL SELECT row, doc_id, paragraph, p, false FROM paragraphs WHERE contains(p, chr(10)) OR length(p) > {size}),
+split AS (SELECT * EXCLUDE (line), list_filter(string_split(regexp_replace(regexp_replace(lower(line), '[0-9]+', ' 0 ', 'g'), '[^a-z0]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM lines),
+passages AS (SELECT row, doc_id, paragraph, w FROM split WHERE own AND len(w) <= {size}
+    UNION SELECT row, doc_id, paragraph, w[i * {step} + 1:i * {step} + {size}] FROM (SELECT *, unnest(range(0, CAST(greatest(ceil((len(w) - {size}) / {step}), 0) AS BIGINT) + 1)) AS i FROM split WHERE NOT own)),
+w AS (SELECT row, doc_id, paragraph, row_number() OVER () AS passage, w FROM passages),
+g AS (SELECT passage, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS gram FROM w),
+s AS (SELECT passage, k, sum(v) AS v FROM g JOIN weights USING (gram) GROUP BY ALL),
+z AS (SELECT p.passage, c.family, c.start + coalesce(s.v, 0) AS z FROM (SELECT DISTINCT passage FROM s) p CROSS JOIN classes c LEFT JOIN s ON s.passage = p.passage AND s.k = c.k),
+b AS (SELECT passage, arg_max(family, z) AS family, max(z) AS top FROM z GROUP BY ALL),
+p AS (SELECT b.passage, b.family, round(1 / sum(exp((z.z - top) / {model.temperature})), 4) AS probability FROM b JOIN z ON z.passage = b.passage GROUP BY ALL),
+t AS (SELECT p.*, row, doc_id, paragraph, list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS triples
+    FROM p JOIN w USING (passage) WHERE p.family <> '{scan.UNKNOWN}' AND probability >= {scan.LEAST}),
+m AS (SELECT row, doc_id, paragraph, passage, t.family, t.probability,
     round(max(len(list_filter(string_split(n.t, ','), lambda x: list_contains(t.triples, x))) / len(string_split(n.t, ','))), 4) AS similarity
-    FROM t JOIN notices n ON n.family = t.family GROUP BY ALL)
-SELECT *, similarity >= {scan.SHARE} AS confirmed FROM m
+    FROM t JOIN notices n ON n.family = t.family GROUP BY ALL),
+o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY row, paragraph, family ORDER BY similarity DESC, probability DESC) = 1)
+SELECT doc_id, paragraph, family, probability, similarity, similarity >= {scan.SHARE} AS confirmed FROM o
 """

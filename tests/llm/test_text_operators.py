@@ -494,18 +494,60 @@ def test_licence_families():
         assert licences.predict(text)[0] == family
 
 
+def test_passages_without_a_trigger_are_unknown():
+    model = licences.train()
+    some = set(licences.triggers(model))
+    # all that speaks for a family at once, but for the triggers
+    for family in range(len(model.classes) - 1):
+        grams = [w for g, w in model.weights.items() if not some & set(g.split()) and w[family] > w[-1]]
+        z = np.array(model.start) + np.array(grams).reshape(-1, len(model.classes)).sum(0)
+        assert z[family] < z[-1]
+    r = random.Random(1)
+    words = [w for w in {x for g in model.weights for x in g.split()} if w not in some]
+    assert all(licences.predict(" ".join(r.choice(words) for _ in range(r.randint(1, 60))))[0] == licences.UNKNOWN for _ in range(500))
+
+
+def plain_licences(text):
+    """(paragraph, family): (similarity, probability) of a text, passage by passage with the model on the driver."""
+    paragraphs, run = [], []
+    for line in text.split("\n"):
+        if re.search(r"[^\W_]", line):
+            run.append(line)
+        elif run:
+            paragraphs.append(run)
+            run = []
+    out, size = {}, 2 * licences.LONGEST
+    for n, lines in enumerate([*paragraphs, run] if run else paragraphs):
+        words = licences.words_of("\n".join(lines))
+        passages = [w for x in lines if len(w := licences.words_of(x)) <= size] + [words[i : i + size] for i in range(0, max(1, len(words) - licences.LONGEST), licences.LONGEST)]
+        for w in passages:
+            family, p = licences.predict(" ".join(w))
+            if family != licences.UNKNOWN and round(p, 4) >= licences.LEAST:
+                triples = set(licences._triples(" ".join(w)))
+                share = round(max(len(triples & set(t)) / len(t) for t in licences.templates()[family]), 4)
+                out[n, family] = max(out.get((n, family), (0, 0)), (share, p))
+    return out
+
+
 def test_licence_scan_equals_the_model(spark, sf_dir):
-    docs = [(r.doc_id, r.text) for r in read(spark, sf_dir).collect()] + [(10**6, "x\nReleased under the MIT License.\n\nAll rights reserved")]
-    got = {(r.doc_id, r.paragraph): r for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    expected = {}
+    prose = "It was a long day and the people of the town went home with all that they had. "
+    mit, gpl = licences.NOTICES["MIT"][0], licences.NOTICES["GPL"][0]
+    docs = [(r.doc_id, r.text) for r in read(spark, sf_dir).collect()]
+    docs += [
+        (10**6, "x\nReleased under the MIT License.\n\nAll rights reserved"), (10**6 + 1, f"{prose * 9}{mit} {prose * 9}\n {prose}\nReleased under the MIT License.\n{gpl}\n\n# \n{prose * 40}{gpl}\n//\n"),
+        (10**6 + 2, f"{mit}\n{gpl}"), (10**6 + 3, "\n\n".join([mit, prose, gpl])),
+    ]
+    got = {}
+    for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.paragraph, r.family] = r
     for d, t in docs:
-        for i, line in enumerate(t.split("\n")):
-            family, p = licences.predict(line)
-            if family != licences.UNKNOWN and round(p, 4) >= licences.LEAST:
-                expected[d, i] = (family, p)
-    assert {k: r.family for k, r in got.items()} == {k: f for k, (f, _) in expected.items()}
-    assert all(abs(got[k].probability - p) < 2e-4 for k, (_, p) in expected.items())
-    assert got[10**6, 1].confirmed and got[10**6, 3].confirmed
+        expected = plain_licences(t)
+        own = got.get(d, {})
+        assert own.keys() == expected.keys(), t[:300]
+        assert all(own[k].similarity == share and abs(own[k].probability - p) < 2e-4 and own[k].confirmed == (share >= licences.SHARE) for k, (share, p) in expected.items())
+    assert got[10**6][0, "MIT"].confirmed and got[10**6][1, "Proprietary"].confirmed
+    assert all(got[10**6 + 1][k].confirmed for k in ((0, "MIT"), (0, "GPL"), (1, "GPL"))) and {k for k, r in got[10**6 + 2].items() if r.confirmed} == {(0, "MIT"), (0, "GPL")}
+    assert {k for k, r in got[10**6 + 3].items() if r.confirmed} == {(0, "MIT"), (2, "GPL")}
     plan = licences.op2_licences(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
 
@@ -523,7 +565,7 @@ def test_wrapped_notices_are_confirmed(spark):
                     docs.append((len(docs), "\n".join(["Some words before", sign.rstrip(), *(sign + x for x in lines), sign.rstrip(), "and words after"])))
     mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software'
     docs.append((1000, "\n\n".join(mit.split("\n"))))  # blank lines between: three paragraphs
-    docs.append((1001, "Released under the MIT License.\nPermission is given to copy this software"))  # the neighbour's notice isn't this line's
+    docs.append((1001, "Released under the MIT License.\nPermission is given to copy this software"))
     got = licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.family for r in got if r.confirmed and r.doc_id < 1000} == family
     assert not any(r.confirmed for r in got if r.doc_id == 1000) and [r.paragraph for r in got if r.doc_id == 1001 and r.confirmed] == [0]
