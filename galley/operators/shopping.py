@@ -9,6 +9,8 @@ amounts can all be added.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from galley import rules
 from galley.functions import amounts, text
 from galley.functions.text import bind
 
+from . import once
+
 _STATE = (
     "struct<name:string,amount:string,unit:string,category:string,base:double,base_unit:string,orig_unit:string,titles:array<string>,first:bigint>"
 )
@@ -23,13 +27,35 @@ _STATE = (
 DIGITS = 9
 
 
-def prepared(rows: DataFrame) -> DataFrame:
-    """list_id, pos, title, name, amount, unit, category -> with norm, norm_unit and parsed; rows without a name are left out."""
-    made = rows.select(
-        "list_id", "pos", "title", "name", "amount", "unit", "category",
-        text.normalize_name(F.coalesce("name", F.lit(""))).alias("norm"), text.normalize_unit(F.col("unit")).alias("norm_unit"), amounts.parse_amount(F.col("amount")).alias("parsed"),
-    )
-    return made.where(F.col("norm") != "")
+def _of_name() -> dict[str, Column]:
+    return {"norm": text.normalize_name(F.coalesce("name", F.lit(""))), "kind": text.categorize(F.col("name"))}
+
+
+def _of_measure() -> dict[str, Column]:
+    return {"norm_unit": text.normalize_unit(F.col("unit")), "parsed": amounts.parse_amount(F.col("amount"))}
+
+
+@dataclass
+class Once:
+    """Names, and pairs of amount and unit, worked out once each; None: row by row."""
+
+    names: DataFrame | None = None
+    measures: DataFrame | None = None
+
+
+def worked_out(ingredients: DataFrame, most: int = once.MOST) -> Once:
+    """What the ingredients' names, amounts and units stand for, where there are few distinct ones. Runs two jobs."""
+    return Once(once.worked_out(ingredients, ["name"], _of_name(), most), once.worked_out(ingredients, ["amount", "unit"], _of_measure(), most))
+
+
+def prepared(rows: DataFrame, known: Once | None = None) -> DataFrame:
+    """list_id, pos, title, name, amount, unit, category -> with norm, norm_unit and parsed, and the name's category where none is given; rows without a name are left out.
+
+    known: ``worked_out`` of ingredients that hold all of the rows' names, amounts and units.
+    """
+    known = known or Once()
+    named = once.with_made(rows.select("list_id", "pos", "title", "name", "amount", "unit", "category"), ["name"], _of_name(), known.names).where(F.col("norm") != "")
+    return once.with_made(named, ["amount", "unit"], _of_measure(), known.measures).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.col("kind"))).drop("kind")
 
 
 def _step(s: Column, r: Column, literal_none: bool) -> Column:
@@ -69,16 +95,15 @@ def _step(s: Column, r: Column, literal_none: bool) -> Column:
     return F.when(s.isNull(), start).otherwise(bind(merged, after))
 
 
-def consolidated(rows: DataFrame, literal_none: bool = True) -> DataFrame:
+def consolidated(rows: DataFrame, literal_none: bool = True, known: Once | None = None) -> DataFrame:
     """One row for each ingredient of each list: list_id, norm, first, category, name, amount, unit, from_recipes.
 
-    literal_none: text appended to a missing amount begins with "None".
+    literal_none: text appended to a missing amount begins with "None". known: see ``prepared``.
     """
     row = F.struct("pos", "title", "name", "amount", "unit", "category", "norm_unit", "parsed")
-    gathered = prepared(rows).groupBy("list_id", "norm").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    gathered = prepared(rows, known).groupBy("list_id", "norm").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     folded = gathered.select("list_id", "norm", F.aggregate("rows", F.lit(None).cast(_STATE), lambda s, r: _step(s, r, literal_none)).alias("s"))
-    category = F.coalesce(F.nullif("s.category", F.lit("")), text.categorize(F.col("s.name")))
-    return folded.select("list_id", "norm", "s.first", category.alias("category"), "s.name", "s.amount", "s.unit", F.col("s.titles").alias("from_recipes"))
+    return folded.select("list_id", "norm", "s.first", "s.category", "s.name", "s.amount", "s.unit", F.col("s.titles").alias("from_recipes"))
 
 
 def ranked(items: DataFrame) -> DataFrame:
@@ -87,10 +112,10 @@ def ranked(items: DataFrame) -> DataFrame:
     return items.withColumn("category_rank", place).where("category_rank > 0")
 
 
-def shopping_list(rows: DataFrame) -> DataFrame:
+def shopping_list(rows: DataFrame, known: Once | None = None) -> DataFrame:
     """list_id, categories: array of (name, items in order of lower-cased name and first sighting)."""
     item = F.struct(F.lower("name").alias("key"), "first", "name", "amount", "unit", "category", "from_recipes")
-    by_category = ranked(consolidated(rows)).groupBy("list_id", "category_rank", "category").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    by_category = ranked(consolidated(rows, known=known)).groupBy("list_id", "category_rank", "category").agg(F.array_sort(F.collect_list(item)).alias("items"))
     items = F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["amount"].alias("amount"), i["unit"].alias("unit"), i["from_recipes"].alias("from_recipes")))
     entry = F.struct("category_rank", F.col("category").alias("name"), items.alias("items"))
     lists = by_category.groupBy("list_id").agg(F.array_sort(F.collect_list(entry)).alias("c"))
@@ -107,7 +132,7 @@ def list_rows(requests: DataFrame, recipes: DataFrame, ingredients: DataFrame) -
     return rows.select("list_id", pos.cast("bigint").alias("pos"), "title", "name", "amount", "unit", "category")
 
 
-def sums(rows: DataFrame) -> DataFrame:
+def sums(rows: DataFrame, known: Once | None = None) -> DataFrame:
     """list_id, norm, base_unit, total, amount, unit of keys whose amounts are all of one kind: a plain aggregation.
 
     Equals the fold where every amount is read, at least two rows come, the first amount
@@ -115,7 +140,7 @@ def sums(rows: DataFrame) -> DataFrame:
     which depend on the order of adding: what is shown is rounded to DIGITS first.
     """
     base = amounts.to_base(F.col("parsed"), F.col("norm_unit"))
-    kept = prepared(rows).withColumn("base", base)
+    kept = prepared(rows, known).withColumn("base", base)
     added = kept.groupBy("list_id", "norm").agg(
         F.sum("base.value").alias("total"), F.min("base.unit").alias("base_unit"), F.max("base.unit").alias("_other"),
         F.count("*").alias("n_rows"), F.count("base.value").alias("_read"),

@@ -144,8 +144,9 @@ def categorize(spark, sf_dir):
 
 @query(with_("ingredients") + f", named AS ({duck.names('ingredients')}) SELECT norm, {duck.category('norm')} AS category, CAST(count(*) AS BIGINT) AS n FROM named GROUP BY 1, 2")
 def ingredient_names(spark, sf_dir):
-    rows = relation(spark, sf_dir, "ingredients").select(text.normalize_name(F.col("name")).alias("norm"))
-    return rows.groupBy("norm").agg(F.count("*").alias("n")).withColumn("category", text.categorize(F.col("norm")))
+    # names are counted before they are normalised: there are far fewer of them than rows
+    names = relation(spark, sf_dir, "ingredients").groupBy("name").agg(F.count("*").alias("n")).select(text.normalize_name(F.col("name")).alias("norm"), "n")
+    return names.groupBy("norm").agg(F.sum("n").alias("n")).withColumn("category", text.categorize(F.col("norm")))
 
 
 # Shopping lists
@@ -158,6 +159,10 @@ def _list_rows(spark, sf_dir) -> DataFrame:
     return shopping.list_rows(requests, recipes, children)
 
 
+def _known(spark, sf_dir) -> shopping.Once:
+    return shopping.worked_out(relation(spark, sf_dir, "ingredients"))
+
+
 _ROWS = f"""rows0 AS (SELECT r.list_id, row_number() OVER (PARTITION BY r.list_id ORDER BY r.id, i.ord, i.id, i.name, i.amount, i.unit) AS pos, r.title, i.name, i.amount, i.unit,
     {duck.unit("i.unit")} AS nu, {duck.amount("i.amount")} AS p FROM recipes r JOIN ingredients i ON i.recipe_id = r.id),
     rows1 AS ({duck.names("rows0")}), k AS (SELECT *, row_number() OVER (PARTITION BY list_id, norm ORDER BY pos) AS n FROM rows1 WHERE norm <> '')"""
@@ -183,12 +188,12 @@ _FOLD = f"""st AS (SELECT list_id, norm, n, name, amount, unit, p AS base, CASE
 
 @query(with_("recipes", "ingredients") + f", {_ROWS}, {_FOLD} SELECT list_id, norm, name, amount, unit FROM done")
 def shopping_fold(spark, sf_dir):
-    return shopping.consolidated(_list_rows(spark, sf_dir)).select("list_id", "norm", "name", "amount", "unit")
+    return shopping.consolidated(_list_rows(spark, sf_dir), known=_known(spark, sf_dir)).select("list_id", "norm", "name", "amount", "unit")
 
 
 @query(with_("recipes", "ingredients") + f", {_ROWS}, {_FOLD} SELECT list_id, norm, array_to_string(titles, ';') AS from_recipes FROM done")
 def shopping_from_recipes(spark, sf_dir):
-    return shopping.consolidated(_list_rows(spark, sf_dir)).select("list_id", "norm", F.array_join("from_recipes", ";").alias("from_recipes"))
+    return shopping.consolidated(_list_rows(spark, sf_dir), known=_known(spark, sf_dir)).select("list_id", "norm", F.array_join("from_recipes", ";").alias("from_recipes"))
 
 
 @query(
@@ -198,7 +203,7 @@ def shopping_from_recipes(spark, sf_dir):
     WHERE category IN ({", ".join(quote(c) for c in rules.CATEGORY_ORDER)}) GROUP BY 1, 2"""
 )
 def shopping_categories(spark, sf_dir):
-    lists = shopping.shopping_list(_list_rows(spark, sf_dir)).select("list_id", F.explode("categories").alias("c"))
+    lists = shopping.shopping_list(_list_rows(spark, sf_dir), _known(spark, sf_dir)).select("list_id", F.explode("categories").alias("c"))
     return lists.select("list_id", F.col("c.name").alias("category"), F.size("c.items").cast("bigint").alias("n_items"), F.array_join(F.transform("c.items", lambda i: F.lower(i["name"])), ";").alias("item_names"))
 
 
@@ -213,7 +218,7 @@ _EXACT_UNITS = "('cups', 'Tbsp.', 'oz', 'lbs')"
     SELECT *, {duck.display_amount("total", "base_unit")} AS amount, {duck.display_unit("total", "base_unit")} AS unit FROM t"""
 )
 def unit_convert_sum(spark, sf_dir):
-    return shopping.sums(_list_rows(spark, sf_dir).where(f"unit IN {_EXACT_UNITS}"))
+    return shopping.sums(_list_rows(spark, sf_dir).where(f"unit IN {_EXACT_UNITS}"), _known(spark, sf_dir))
 
 
 _SPOONS = f"round(total * 3, {shopping.DIGITS})"
@@ -230,7 +235,7 @@ _SPOONS = f"round(total * 3, {shopping.DIGITS})"
 )
 def unit_convert_sum_all(spark, sf_dir):
     """unit_convert_sum over all units: a key with an amount that can't be converted has no total."""
-    return shopping.sums(_list_rows(spark, sf_dir)).withColumn("total", F.round("total", shopping.DIGITS))
+    return shopping.sums(_list_rows(spark, sf_dir), _known(spark, sf_dir)).withColumn("total", F.round("total", shopping.DIGITS))
 
 
 # Nutrition
@@ -250,7 +255,7 @@ _GRAMS = duck.grams("i.amount", "i.unit")
 )
 def nutrition_details(spark, sf_dir):
     _, rows, foods = _nutrition(spark, sf_dir)
-    return nutrition.details(rows, foods).select("recipe_id", "id", "grams", "matched", amounts.one_decimal(F.col("calories")).alias("calories"))
+    return nutrition.details(rows, foods, nutrition.weighed(rows)).select("recipe_id", "id", "grams", "matched", amounts.one_decimal(F.col("calories")).alias("calories"))
 
 
 _SUMMED = ", ".join(f"coalesce(sum(coalesce(f.{m}, 0) * (({_GRAMS}) / 100.0)), 0) AS {m}" for m in rules.MEASURES)
@@ -264,7 +269,8 @@ _SERVED = ", ".join(f"CAST(printf('%.1f', total_{m} / greatest(servings, 1)) AS
     u AS (SELECT id, servings, {_ROUNDED} FROM t) SELECT *, {_SERVED} FROM u"""
 )
 def nutrition_totals(spark, sf_dir):
-    return nutrition.totals(*_nutrition(spark, sf_dir))
+    recipes, rows, foods = _nutrition(spark, sf_dir)
+    return nutrition.totals(recipes, rows, foods, nutrition.weighed(rows))
 
 
 #: Nutrient rows of every part, as lines of orders: names repeat, values are missing, energy comes in two units.
@@ -599,7 +605,7 @@ def reply_json(spark, sf_dir):
 
 @query(with_("recipes", "ingredients") + f", {_ROWS} SELECT DISTINCT list_id, title FROM k")
 def list_recipe_names(spark, sf_dir):
-    return shopping.recipe_names(shopping.consolidated(_list_rows(spark, sf_dir)))
+    return shopping.recipe_names(shopping.consolidated(_list_rows(spark, sf_dir), known=_known(spark, sf_dir)))
 
 
 @query(with_("recipes") + " SELECT list_id, CAST(count(DISTINCT id) AS BIGINT) AS n FROM recipes GROUP BY 1")

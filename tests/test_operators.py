@@ -67,6 +67,21 @@ def test_sums_over_all_units(spark, sf_dir):
     assert found == expected and found
 
 
+def test_values_worked_out_once_or_row_by_row(spark):
+    from galley.operators import once
+
+    rows = spark.createDataFrame(
+        [(1, 1, "A", "Kosher Salt", "1", "cup", None), (1, 2, "B", "salt", "3", "tsp", ""), (1, 3, "C", "salt", None, None, "x"), (1, 4, "C", None, "1", None, None), (2, 1, "A", "Frozen corn", "1/2", "", "Own"), (2, 2, "A", " ", "1", "g", None)],
+        "list_id int, pos int, title string, name string, amount string, unit string, category string",
+    )
+    few, many = shopping.worked_out(rows), shopping.worked_out(rows, most=1)
+    assert few.names is not None and few.measures is not None and many.names is None and many.measures is None
+    plain = sorted(map(str, shopping.consolidated(rows).collect()))
+    assert len(plain) == 2 and plain == sorted(map(str, shopping.consolidated(rows, known=few).collect())) == sorted(map(str, shopping.consolidated(rows, known=many).collect()))
+    assert sorted(map(str, shopping.prepared(rows).collect())) == sorted(map(str, shopping.prepared(rows, few).select(shopping.prepared(rows).columns).collect()))
+    assert once.worked_out(rows.where("false"), ["name"], {}).count() == 0
+
+
 def test_list_rows_follow_the_request(spark):
     recipes = spark.createDataFrame([(1, "One"), (2, "Two")], "id int, title string")
     ingredients = spark.createDataFrame([(1, 1, "b", "1", "g", 1, None), (2, 1, "a", "1", "g", 0, None), (3, 2, "c", "1", "g", 0, None)], "id int, recipe_id int, name string, amount string, unit string, order int, category string")
