@@ -56,8 +56,8 @@ def page_text(html: Column) -> Column:
 
 def page_image(html: Column) -> Column:
     """The page's picture as it is announced for sharing, or null."""
-    before = F.regexp_extract(html, r"""(?i)<meta[^>]*property=["']og:image["'][^>]*content=["']([^"']+)["']""", 1)
-    after = F.regexp_extract(html, r"""(?i)<meta[^>]*content=["']([^"']+)["'][^>]*property=["']og:image["']""", 1)
+    before = F.regexp_extract(html, rules.PICTURE_BEFORE, 1)
+    after = F.regexp_extract(html, rules.PICTURE_AFTER, 1)
     return F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit("")))
 
 
@@ -123,9 +123,9 @@ def reading_sections(response: Column) -> Column:
     both = (first > 0) & (second > 0)
 
     def end(start: Column) -> Column:
-        tail = F.substring(response, start + 20, F.length(response))
+        tail = F.substring(response, start + rules.STEP_LEAST, F.length(response))
         at = F.least(*[F.nullif(F.locate(m, tail), F.lit(0)) for m in rules.STEP_ENDS])
-        return F.coalesce(at + 19, F.length(response) - start + 1)
+        return F.coalesce(at + rules.STEP_LEAST - 1, F.length(response) - start + 1)
 
     ingredients = F.when(both & (second > first), F.substring(response, first, second - first)).otherwise("")
     steps = F.when(both, F.substring(response, second, end(second))).otherwise("")

@@ -50,7 +50,7 @@ def normalize_name(name: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, r"\([^)]*\)", ""), STRIP_PATTERN, "")
     x = strip(F.regexp_replace(F.regexp_replace(x, "[,;]+", ""), r"(?U)\s+", " "))
     first = bind(x, lambda n: F.coalesce(lookup(rules.NAME_ALIASES, n), n))
-    bare = lambda n: strip(F.regexp_replace(n, r"(?U),?\s*(cubed|crumbled|halved|patted dry|cut into .*)$", ""))
+    bare = lambda n: strip(F.regexp_replace(n, "(?U)" + rules.TRAILING_WORDS, ""))
     return bind(first, lambda n: F.coalesce(lookup(rules.NAME_ALIASES, bare(n)), n))
 
 

@@ -27,7 +27,7 @@ def names(source: str, column: str = "name") -> str:
     """SELECT *, norm: the source's rows with the normalized name."""
     one = f"SELECT *, {cleaned_name(column)} AS n0 FROM {source}"
     two = f"SELECT *, {cases('n0', rules.NAME_ALIASES, 'n0')} AS n1 FROM ({one})"
-    three = rf"SELECT *, trim(regexp_replace(n1, ',?\s*(cubed|crumbled|halved|patted dry|cut into .*)$', '')) AS n2 FROM ({two})"
+    three = rf"SELECT *, trim(regexp_replace(n1, '{rules.TRAILING_WORDS}', '')) AS n2 FROM ({two})"
     return f"SELECT * EXCLUDE (n0, n1, n2), {cases('n2', rules.NAME_ALIASES, 'n1')} AS norm FROM ({three})"
 
 

@@ -128,8 +128,16 @@ ENTITIES = [
 ]
 PAGE_TEXT_CAP, CARD_TEXT_LEAST, PAGE_TEXT_LEAST = 10_000, 200, 100
 
-# Sections of a recorded reading, and where the second ends.
+# How a page announces its picture, the property before or after the address.
+PICTURE_BEFORE = r"""(?i)<meta[^>]*property=["']og:image["'][^>]*content=["']([^"']+)["']"""
+PICTURE_AFTER = r"""(?i)<meta[^>]*content=["']([^"']+)["'][^>]*property=["']og:image["']"""
+
+# Descriptors at the end of a name.
+TRAILING_WORDS = r",?\s*(cubed|crumbled|halved|patted dry|cut into .*)$"
+
+# Sections of a recorded reading, where the second ends, and from which of its characters on an end counts.
 INGREDIENT_HEADER, STEP_HEADER = "INGREDIENT TRANSCRIPTION:", "AMOUNTS IN STEPS:"
+STEP_LEAST = 20
 STEP_ENDS = ["STEP 3:", "STEP 4:", "Cross-check", "[", "{"]
 FRACTION_UNITS = ["cup", "tbsp", "tablespoon", "tsp", "teaspoon", "pound", "lb", "oz", "ounce"]
 
