@@ -2,7 +2,13 @@
 
 STAGES lists the stages in order. Each takes (spark, docs, sf_dir) and returns a DataFrame;
 ``run`` writes each result as Parquet to the shared folder and reads it back as the next
-one's documents. All stages but the last return the columns of documents.
+one's documents. All stages but the last return the columns of documents. The jobs run
+when ``run`` is called.
+
+Nulls: a null text counts as an empty one and stays null until the last stage, where it has
+no ids; rows with a null or shared doc_id are judged by their own texts and stay unless a
+stage drops them. Repeated rows and groups of copies leave one row. Extra columns are kept by
+all stages but the last; empty tables give an empty table. Texts may be of any length.
 """
 
 from __future__ import annotations
