@@ -106,15 +106,6 @@ def groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their group (the least doc_id); of rows with one doc_id, one stays.
-
-    A row without a doc_id names nothing and is left out.
-    """
-    kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-
-
 def keep_survivors(docs: DataFrame) -> DataFrame:
     """One row of every group, whatever its doc_id: the least doc_id, nulls last, then the least hash of its text.
 
