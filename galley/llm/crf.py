@@ -59,12 +59,16 @@ class Tokens:
         data, n = w.data, len(w.data)
         self.start, self.end = w.start, w.end
         solid = (_LETTER | _DIGIT)[data]
-        at = np.arange(n)
+        at = np.arange(n, dtype=np.int32)  # narrow: arrays as long as the text
         last = np.maximum.accumulate(np.where(solid, at, -1))[w.end - 1] if len(w) else w.start
         some = last >= w.start  # tokens with a letter or digit
         self.cls = np.full(len(w), PLAIN, np.int32)
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int32)])
-        special = some & ((digits[w.end] > digits[w.start]) | (np.concatenate([[0], np.cumsum(data == 0x40, dtype=np.int32)])[w.end] > np.concatenate([[0], np.cumsum(data == 0x40, dtype=np.int32)])[w.start]))
+        digits = np.concatenate([np.zeros(1, np.int32), np.cumsum(_DIGIT[data], dtype=np.int32)])
+        special = digits[w.end] > digits[w.start]
+        del digits
+        signs = np.concatenate([np.zeros(1, np.int32), np.cumsum(data == 0x40, dtype=np.int32)])
+        special = some & (special | (signs[w.end] > signs[w.start]))
+        del signs
         plain_hashes = None
         # cue words: letters only between the outer punctuation
         ahead = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1]

@@ -127,7 +127,7 @@ def find_many(texts: list[bytes], field: crf.Model) -> list[tuple[list[Span], li
             every = base
             if n in extra:
                 if chars is None:
-                    chars = np.concatenate([[0], np.cumsum((tokens.words.data & 0xC0) != 0x80)])
+                    chars = np.concatenate([np.zeros(1, np.int32), np.cumsum((tokens.words.data & 0xC0) != 0x80, dtype=np.int32)])
                 origin = int(chars[tokens.words.text_start[n]])
                 added = []
                 for kind, a, b in extra[n]:
