@@ -304,27 +304,31 @@ def train(table: list[str] | None = None, rounds: int = 100, penalty: float = 0.
     one = np.eye(n_lab)
     at = np.arange(size)
     for turn in range(1, rounds + 1):
-        emit = (w["own"][cls] + w["left"][before] + w["right"][after] + w["second"][second]).astype(np.float32)
-        joint = w["step"].astype(np.float32)
-        alpha, beta = np.zeros((length, size, n_lab), np.float32), np.zeros((length, size, n_lab), np.float32)
-        alpha[0] = emit[:, 0] + w["begin"]
+        emit = w["own"][cls] + w["left"][before] + w["right"][after] + w["second"][second]
+        # forward and backward sums of each token, scaled to one
+        e = np.exp(emit - emit.max(2, keepdims=True)).transpose(1, 0, 2)
+        s, finish = np.exp(w["step"]), np.exp(w["finish"])
+        alpha, beta = np.zeros((length, size, n_lab)), np.zeros((length, size, n_lab))
+        alpha[0] = e[0] * np.exp(w["begin"])
+        alpha[0] /= alpha[0].sum(1, keepdims=True)
         for t in range(1, length):
-            new = _logsum(alpha[t - 1][:, :, None] + joint, 1) + emit[:, t]
-            alpha[t] = np.where(mask[:, t, None], new, alpha[t - 1])
-        beta[:] = w["finish"]
+            new = np.where(mask[:, t, None], (alpha[t - 1] @ s) * e[t], alpha[t - 1])
+            alpha[t] = new / new.sum(1, keepdims=True)
+        beta[:] = finish
         for t in range(length - 2, -1, -1):
-            new = _logsum(joint + (emit[:, t + 1] + beta[t + 1])[:, None, :], 2)
-            beta[t] = np.where(mask[:, t + 1, None], new, w["finish"])
-        total = _logsum(alpha[-1] + w["finish"], 1)
-        node = np.exp(alpha + beta - total[:, None]).transpose(1, 0, 2) * mask[:, :, None]
+            new = np.where(mask[:, t + 1, None], (e[t + 1] * beta[t + 1]) @ s.T, finish)
+            beta[t] = new / new.sum(1, keepdims=True)
+        node = alpha * beta
+        node = (node / node.sum(2, keepdims=True)).transpose(1, 0, 2) * mask[:, :, None]
         wrong = node - one[y] * mask[:, :, None]
         grad = {k: np.zeros_like(v) for k, v in w.items()}
         off = wrong[mask]
         for k, c in (("own", cls), ("left", before), ("right", after), ("second", second)):
             grad[k] += np.stack([np.bincount(c[mask], off[:, j], n_cls) for j in range(n_lab)], 1)
         for t in range(1, length):
-            pair = np.exp(alpha[t - 1][:, :, None] + joint + (emit[:, t] + beta[t])[:, None, :] - total[:, None, None]) * mask[:, t, None, None]
-            grad["step"] += pair.sum(0)
+            ahead = e[t] * beta[t]
+            share = mask[:, t] / ((alpha[t - 1] @ s) * ahead).sum(1)
+            grad["step"] += s * ((alpha[t - 1] * share[:, None]).T @ ahead)
             np.add.at(grad["step"], (y[:, t - 1][mask[:, t]], y[:, t][mask[:, t]]), -1)
         grad["begin"] = wrong[:, 0].sum(0)
         grad["finish"] = (node[at, lens - 1] - one[y[at, lens - 1]]).sum(0)
@@ -351,11 +355,6 @@ def _bounds(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return end - [len(p.encode()) for p in parts], end
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
-
-
 def _memory(model: Model, most: int = 64) -> int:
     """After how many plain tokens one more only adds a constant to the best score between any two labels.
 
