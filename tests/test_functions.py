@@ -137,3 +137,34 @@ def test_one_pass_takes_out_what_many_do(spark):
         return name
 
     assert column(spark, names, lambda x: F.regexp_replace(x, text.STRIP_PATTERN, "")) == [many(n) for n in names]
+
+
+def test_page_cards_and_pictures(spark):
+    words = "salt and pepper " * 20
+    got = {
+        f'<div id="a" class="wprm-recipe-container x"><p>{words}</p><div class="comments">no</div></div>': words.strip(),
+        '<div class="wprm-recipe-container">short</div><p>rest &amp;lt; 1&#xBD; cup</p>': "short rest < 11/2 cup",
+        f'<nav>menu</nav><div class="tasty-recipes-entry-content"><script>x</script>{words}</article>tail': words.strip(),
+        '<aside>a</aside><p>b&nbsp;c</p><div class="share x">d</div>': "b c",
+        "<p>" + "word " * 3000 + "</p>": ("word " * 2000) + "...",
+        f"<DIV CLASS='x' class=\"recipe-card-container\">{words}<section class=\"related\">r</section>": words.strip(),
+        None: None,
+        "": "",
+    }
+    assert column(spark, list(got), extract.page_text) == list(got.values())
+    pictures = {
+        '<meta property="og:image" content="a.png">': "a.png", "<META content='b.jpg' x=1 property='og:image'/>": "b.jpg", "<meta property='og:title' content='t'>": None, None: None,
+        '<meta property="og:image" name="x" content="c.webp">': "c.webp",
+    }
+    assert column(spark, list(pictures), extract.page_image) == list(pictures.values())
+
+
+def test_fractions_that_only_one_section_has(spark):
+    readings = {
+        "INGREDIENT TRANSCRIPTION:\n1/2 cup oil\n1/4 tsp salt\nAMOUNTS IN STEPS: use the oil, 1/3 cup, then 1/4 tsp\nSTEP 3: ok {": (["1/3"], ["1/2"]),
+        "AMOUNTS IN STEPS: 1/2 cup INGREDIENT TRANSCRIPTION: 1/3 cup": ([], []),
+        "nothing here": ([], []),
+        "INGREDIENT TRANSCRIPTION: 3/4 lb beef, 2/3 Cups milk AMOUNTS IN STEPS: all of it in one go": ([], []),
+        "INGREDIENT TRANSCRIPTION: 1/2 cup AMOUNTS IN STEPS: 1/2 cups of it, [1/8 cup] more": ([], []),
+    }
+    assert [(r.steps_only, r.ingredients_only) for r in column(spark, list(readings), extract.fraction_differences)] == list(readings.values())
